@@ -22,8 +22,8 @@ PREFIX = 4
 #: Score of a word that tells nothing.
 DRIFT = -0.05
 #: Likelihood ratio statistic that a feature of toxic texts must exceed: with one degree
-#: of freedom chance gives this to one feature in 100,000.
-SURE = 20.0
+#: of freedom chance gives this to less than one feature in 10,000.
+SURE = 16.0
 #: Karlin-Altschul constant for the number of independent starts of a segment.
 STARTS = 0.1
 
