@@ -29,7 +29,7 @@ def targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
     everything = Window.partitionBy(F.lit(0))
     left = F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
     level = left / F.sum("w").over(after)
-    s = s.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("at"), F.col("level"))).over(everything))
+    s = s.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("at"), F.col("level"))).over(everything))
     return s.select("source", "source_size", F.when(F.col("at") <= F.col("level"), F.col("most")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 

@@ -74,7 +74,7 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN ratio <= level THEN most ELSE level * w END AS target,
          CAST('0x' || substr(md5('mix|' || coalesce('s' || source, 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS shift
-  FROM (SELECT *, min(CASE WHEN own <= ratio THEN own END) OVER () AS level FROM l)
+  FROM (SELECT *, max(CASE WHEN own <= ratio THEN own END) OVER () AS level FROM l)
 ), r AS (
   SELECT d.*, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)), d.size >> greatest(length(bin(d.size)) - 4, 0), key, doc_id) AS i

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, freed, saved
@@ -74,7 +74,8 @@ def stretches(data: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.nda
 
 
 def find_stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """u, v, text -> u, v, a, r, h, c: stretches with the digest c of their bytes."""
+    """u, v, text -> u, v, ar, h, c: stretches, with first window and number of windows in ar and
+    the digest c of their bytes."""
     for batch in batches:
         us, vs = (batch.column(i).to_numpy() for i in (0, 1))
         texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
@@ -91,7 +92,7 @@ def find_stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
             doc = np.searchsorted(begins, first, "right") - 1
             digest = xxhash.xxh3_64_intdigest
             c = np.fromiter((digest(raw[a:b]) for a, b in zip(first.tolist(), (first + count + width - 1).tolist(), strict=True)), np.uint64, len(first))
-            yield pa.record_batch([pa.array(us[at:end][doc]), pa.array(vs[at:end][doc]), pa.array((first - begins[doc]).astype(np.int64)), pa.array(count.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(c.view(np.int64))], names=["u", "v", "a", "r", "h", "c"])
+            yield pa.record_batch([pa.array(us[at:end][doc]), pa.array(vs[at:end][doc]), pa.array((first - begins[doc] << 16 | count).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(c.view(np.int64))], names=["u", "v", "ar", "h", "c"])
             at = end
 
 
@@ -101,8 +102,10 @@ def words_at(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return view[at].view(">u8").astype(np.uint64)
 
 
-def by_words(words: np.ndarray, *less: np.ndarray) -> np.ndarray:
-    return np.lexsort((*less, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
+def by_words(words: np.ndarray) -> np.ndarray:
+    """Order of rows of words, as strings of bytes."""
+    rows = np.ascontiguousarray(words.astype(">u8")).view(f"S{8 * words.shape[1]}").ravel()
+    return np.argsort(rows, kind="stable")
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -126,7 +129,7 @@ class CoverRanks:
         # names by PERIOD bytes; the end of the text counts as less than any byte
         left = np.minimum(n - sample, PERIOD)
         words = words_at(self.data, sample, PERIOD)
-        order = by_words(words, left)
+        order = by_words(np.column_stack([words, left.astype(np.uint64)]))
         same = (words[order[1:]] == words[order[:-1]]).all(axis=1) & (left[order[1:]] == left[order[:-1]])
         name = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0)) if len(order) else order
         self.rank[sample[order]] = name
@@ -176,14 +179,15 @@ class CoverRanks:
         return out
 
 
-def suffix_buckets(text: bytes, starts: np.ndarray) -> Iterator[np.ndarray]:
+def suffix_buckets(text: bytes, starts: np.ndarray, keys: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """The suffixes at `starts` in order, one bucket at a time: suffixes are dealt out by
     splitters of 8 bytes, each bucket is sorted by its first PERIOD bytes, and ties go by
-    the ranks of the cover. Beyond the text, memory is a bucket and the cover's ranks."""
+    the ranks of the cover. Beyond the text, memory is a bucket and the cover's ranks.
+    With keys, a number for each start, suffixes are in order within each key."""
     if not len(starts):
         return
     cover = CoverRanks(text)
-    lead = words_at(cover.data, starts, 8)[:, 0]
+    lead = words_at(cover.data, starts, 8)[:, 0] if keys is None else keys
     n = max(1, len(starts) // BUCKET)
     cuts = np.unique(np.sort(lead[:: max(1, len(lead) // (64 * n))])[64 // 2 :: 64]) if n > 1 else np.zeros(0, np.uint64)
     bucket = np.searchsorted(cuts, lead, "right")
@@ -192,21 +196,33 @@ def suffix_buckets(text: bytes, starts: np.ndarray) -> Iterator[np.ndarray]:
         if not len(own):
             continue
         words = words_at(cover.data, own, PERIOD)
+        if keys is not None:
+            words = np.column_stack([keys[bucket == k], words])
         order = by_words(words)
-        same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
-        own = own[order]
-        edges = np.flatnonzero(np.r_[True, ~same, True])
-        for a, b in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist(), strict=True):
+        words, own = words[order], own[order]
+        same = (words[1:] == words[:-1]).all(axis=1)
+        first = np.flatnonzero(np.r_[True, ~same])
+        group = np.cumsum(np.r_[0, ~same])
+        left = own % PERIOD
+        mixed = np.minimum.reduceat(left, first) != np.maximum.reduceat(left, first)
+        # ties of one residue take the same step into the cover: all groups at once
+        plain = np.flatnonzero((np.r_[same, False] | np.r_[False, same]) & ~mixed[group])
+        ties = own[plain]
+        by = np.lexsort((cover.rank[ties + cover.step[ties % PERIOD, ties % PERIOD]], group[plain]))
+        own[plain] = ties[by]
+        ends = np.r_[first[1:], len(own)]
+        for a, b in zip(first[mixed].tolist(), ends[mixed].tolist(), strict=True):
             own[a:b] = cover.ordered(own[a:b])
         yield own
 
 
-def repeated_windows(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
-    """Those of `starts` whose `width` bytes are also at another of them. Equal windows
-    are neighbours in suffix order, so each is compared with the one before it."""
+def repeated_windows(text: bytes, starts: np.ndarray, width: int, keys: np.ndarray | None = None) -> np.ndarray:
+    """Those of `starts` whose `width` bytes are also at another of them (of its key).
+    Equal windows are neighbours in suffix order, so each is compared with the one
+    before it."""
     data, found, last = np.frombuffer(text, np.uint8), [], np.zeros(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(data, width) if len(data) >= width else data
-    for own in suffix_buckets(text, starts):
+    for own in suffix_buckets(text, starts, keys):
         own = np.r_[last, own]
         for k in range(0, len(own) - 1, 20_000):
             a, b = own[k : k + 20_000], own[k + 1 : k + 20_001]
@@ -238,28 +254,38 @@ def sort_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
 
 
 def _sorted(rows: list[tuple], width: int) -> pa.RecordBatch:
-    # each stretch starts at a multiple of the period, so ties mostly share a residue
+    # the least gram of each stretch is put at a multiple of the period, so that equal
+    # windows share a residue
     text, begins = bytearray(), []
-    for *_, data in rows:
+    lengths = np.array([len(x[3]) for x in rows], np.int64)
+    flat = np.frombuffer(b"".join(x[3] for x in rows), np.uint8)
+    keys = np.repeat(np.array([x[0] for x in rows], np.int64).view(np.uint64), lengths)
+    ends = np.cumsum(lengths)
+    hits = np.flatnonzero(gram_hashes(flat) == keys[: max(0, len(flat) - GRAM + 1)]) if len(flat) >= GRAM else ends[:0]
+    at = hits[np.searchsorted(hits, ends - lengths)] - (ends - lengths) if len(hits) else ends[:0]
+    for (*_, data), p in zip(rows, at.tolist(), strict=True):
+        text += bytes(-(len(text) + p) % PERIOD)
         begins.append(len(text))
-        text += data + bytes(-len(data) % PERIOD)
+        text += data
     begin = np.array(begins, np.int64)
     starts = np.concatenate([b + np.arange(r) for b, (_, _, r, _) in zip(begins, rows, strict=True)]) if rows else begin
-    first, size = runs(repeated_windows(bytes(text), starts, width))
+    counts = np.array([x[2] for x in rows], np.int64)
+    number = np.cumsum(np.r_[0, np.diff(np.array([x[0] for x in rows], np.int64)) != 0])[: len(rows)]
+    first, size = runs(repeated_windows(bytes(text), starts, width, np.repeat(number, counts).astype(np.uint64)))
     row = np.searchsorted(begin, first, "right") - 1
     h, c = (np.array([x[i] for x in rows], np.int64) for i in (0, 1))
     return pa.record_batch([pa.array(x) for x in (h[row], c[row], first - begin[row], size)], names=["h", "c", "i", "k"])
 
 
 def cut_bytes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """text, need (structs of a, r, h, c) -> h, c, r, data."""
+    """text, need (structs of ar, h, c) -> h, c, r, data."""
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
             out: list[tuple] = []
             for text, need in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                out += [(x["h"], x["c"], x["r"], raw[x["a"] : x["a"] + x["r"] + width - 1]) for x in need]
+                out += [(x["h"], x["c"], x["ar"] & 65535, raw[x["ar"] >> 16 : (x["ar"] >> 16) + (x["ar"] & 65535) + width - 1]) for x in need]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["h", "c", "r", "data"])
 
@@ -327,16 +353,17 @@ def remove_repeats(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
     # u and v name a row by its content: numbers given to rows could change on a rerun
     ident, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     slim = docs.select(F.xxhash64(text).alias("u"), F.coalesce(ident, F.lit(-1)).alias("v"), ident.alias("doc_id"), text.alias("text"))
-    found = saved(slim.select("u", "v", "text").mapInArrow(lambda it: find_stretches(it, width), "u long, v long, a long, r long, h long, c long"))
+    found = saved(slim.select("u", "v", "text").mapInArrow(lambda it: find_stretches(it, width), "u long, v long, ar long, h long, c long"))
 
     # per distinct stretch: how often, and one place to read it from
-    kinds = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "a", "r")).alias("at"))
-    keys = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("differ"), F.sum("n").alias("total"))
-    kinds = saved(kinds.join(keys.filter("total > 1"), "h"))
+    kinds = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "ar")).alias("at"))
+    under = Window.partitionBy("h")
+    kinds = kinds.select("*", F.count(F.lit(1)).over(under).alias("differ"), F.sum("n").over(under).alias("total")).filter("total > 1").drop("total")
+    kinds = saved(kinds)
     freed(spark)
 
     # the bytes of one of each, under keys with several
-    need = kinds.filter("differ > 1").groupBy(F.col("at.u").alias("u"), F.col("at.v").alias("v")).agg(F.collect_list(F.struct(F.col("at.a").alias("a"), F.col("at.r").alias("r"), "h", "c")).alias("need"))
+    need = kinds.filter("differ > 1").groupBy(F.col("at.u").alias("u"), F.col("at.v").alias("v")).agg(F.collect_list(F.struct(F.col("at.ar").alias("ar"), "h", "c")).alias("need"))
     need = saved(need)
     data = slim.select("u", "v", "text").join(need, ["u", "v"]).select("text", "need").mapInArrow(lambda it: cut_bytes(it, width), "h long, c long, r long, data binary")
     data = saved(data)
@@ -351,12 +378,12 @@ def remove_repeats(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
         twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         again = again.unionByName(windows.join(twice, ["w1", "w2"]).select("h", "c", "i", F.lit(1).cast("long").alias("k")))
     parts = again.groupBy("h", "c").agg(F.collect_list(F.struct("i", "k")).alias("parts"))
-    whole = kinds.filter("n > 1").select("h", "c", F.array(F.struct(F.lit(0).cast("long").alias("i"), F.col("at.r").alias("k"))).alias("parts"))
+    whole = kinds.filter("n > 1").select("h", "c", F.array(F.struct(F.lit(0).cast("long").alias("i"), F.expr("at.ar & 65535L").alias("k"))).alias("parts"))
     once = kinds.filter("n = 1 and differ > 1").select("h", "c")
     marked = saved(whole.unionByName(parts.join(once, ["h", "c"], "left_semi")))
     freed(spark)
 
-    spans = found.join(marked, ["h", "c"]).select("u", "v", F.explode(F.transform("parts", lambda p: F.struct((F.col("a") + p["i"]).alias("at"), p["k"].alias("n")))).alias("s"))
+    spans = found.join(marked, ["h", "c"]).select("u", "v", F.explode(F.transform("parts", lambda p: F.struct((F.shiftright("ar", 16) + p["i"]).alias("at"), p["k"].alias("n")))).alias("s"))
     spans = saved(spans.groupBy("u", "v").agg(F.collect_list("s").alias("spans")))
     for x in (found, kinds, need, data, marked):
         dropped(x)
