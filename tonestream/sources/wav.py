@@ -35,7 +35,7 @@ def parse(raw: bytes) -> Header:
     while at + 8 <= len(raw):
         name, size = raw[at : at + 4].decode("latin-1"), struct.unpack("<I", raw[at + 4 : at + 8])[0]
         body = at + 8
-        if name == "ds64":
+        if name == "ds64" and body + 24 <= len(raw):
             wide = struct.unpack("<QQQ", raw[body : body + 24])
         if name == "fmt ":
             if size < 16 or body + 16 > len(raw):
