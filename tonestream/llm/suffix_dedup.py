@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ BLOCK = 1 << 18
 PERIOD = 64
 #: Suffixes that are sorted at a time.
 BUCKET = 200_000
+#: Bytes of stretches whose suffixes are ordered together, unless one key has more.
+TEXT = 1_000_000
 #: Distinct stretches under one key that one task sorts; keys with more are split.
-CROWD = 20_000
+CROWD = 4_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +118,15 @@ def difference_cover(period: int) -> np.ndarray:
     return np.unique(np.r_[np.arange(r), np.arange(0, period, r)])
 
 
+@lru_cache(1)
+def cover_steps() -> np.ndarray:
+    """For residues i and j the least step that takes both into the cover."""
+    inside = np.isin(np.arange(PERIOD), difference_cover(PERIOD))
+    place = np.arange(PERIOD)
+    both = [[inside[(i + place) % PERIOD] & inside[(j + place) % PERIOD] for j in range(PERIOD)] for i in range(PERIOD)]
+    return np.argmax(np.array(both), axis=2)
+
+
 class CoverRanks:
     """Ranks of the suffixes at a difference cover's places, for comparing any two
     suffixes that agree in PERIOD bytes."""
@@ -149,9 +161,7 @@ class CoverRanks:
             name[tied] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
             self.rank[at] = name[tied]
             h *= 2
-        # for residues i and j the least step that takes both into the cover
-        both = np.array([[next(d for d in range(PERIOD) if self.inside[(i + d) % PERIOD] and self.inside[(j + d) % PERIOD]) for j in range(PERIOD)] for i in range(PERIOD)]) if n else np.zeros((PERIOD, PERIOD), int)
-        self.step = both
+        self.step = cover_steps()
 
     def ordered(self, ties: np.ndarray) -> np.ndarray:
         """Suffixes that agree in PERIOD bytes, in order. Of one residue they have the
@@ -243,13 +253,18 @@ def sort_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
     """h, c, r, data, sorted by h -> h, c, i, k: window i and k - 1 after it recur in
     another stretch or another place of one key. Small keys are sorted many at a time."""
     rest: list[tuple] = []
+    size = 0
     for batch in batches:
-        rest += zip(*(x.to_pylist() for x in batch.columns), strict=True)
-        if sum(len(x[3]) for x in rest) > 4_000_000:
-            last = next((k for k in range(len(rest) - 1, 0, -1) if rest[k - 1][0] != rest[-1][0]), 0)
-            if last:
-                yield _sorted(rest[:last], width)
-                rest = rest[last:]
+        for k in range(0, batch.num_rows, 500):
+            new = list(zip(*(x.to_pylist() for x in batch.slice(k, 500).columns), strict=True))
+            rest += new
+            size += sum(len(x[3]) for x in new)
+            if size > TEXT:
+                last = next((k for k in range(len(rest) - 1, 0, -1) if rest[k - 1][0] != rest[-1][0]), 0)
+                if last:
+                    yield _sorted(rest[:last], width)
+                    rest = rest[last:]
+                    size = sum(len(x[3]) for x in rest)
     yield _sorted(rest, width)
 
 
