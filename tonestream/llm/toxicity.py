@@ -111,27 +111,25 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, streng
     """docs: doc_id, text; labels: doc_id, toxic.
 
     Fits on at most `most_rows` labelled rows, those with the smallest hash of their id,
-    and never on held-out ids. Features are counted once per distinct text. Their
-    log-odds have a Dirichlet prior in proportion to how frequent the feature is in both
+    and never on held-out ids. Features are counted once per distinct text, under
+    the label that most of its rows have (toxic if they tie), so reruns agree. Their log-odds have a Dirichlet prior in proportion to how frequent the feature is in both
     classes, with `strength` in total. Without labels of both classes every score is 0.
     """
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.filter("text is not null").repartition(64, F.xxhash64("text"))
+    rows = docs.join(F.broadcast(known), "doc_id").filter("text is not null")
+    # copies are counted before the shuffle; a text's own row has its labels of each class
+    rows = rows.groupBy("text").agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("toxic") <= 0).alias("c"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, seen, n = np.zeros((2, ROWS << BITS), np.int32), set(), [0, 0]
+        tables, n = np.zeros((2, ROWS << BITS), np.int32), [0, 0]
         for b in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key = xxhash.xxh3_128_digest(text)  # rows of one text are in one partition
-                if key in seen:
-                    continue
-                seen.add(key)
-                n[toxic > 0] += 1
+            for text, t, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                toxic = int(t >= c)
+                n[toxic] += 1
                 found = {f for w in set(WORDS.findall(text.lower())) for f in features(w)}
                 at = [x for f in found for x in buckets(f)]
-                np.add.at(tables[int(toxic > 0)], at, 1)
+                np.add.at(tables[toxic], at, 1)
         at = np.flatnonzero(tables.any(axis=0))
         yield pa.record_batch([pa.array(np.r_[at, -1]), pa.array(np.r_[tables[1][at], n[1]].astype(np.int64)), pa.array(np.r_[tables[0][at], n[0]].astype(np.int64))], names=["bucket", "toxic", "clean"])
 
@@ -157,8 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, streng
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros((2, 256), np.int64)
         for b in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tally[int(toxic > 0), min(255, int(16 * log1p(model.excess(text))))] += 1
+            for text, t, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = min(255, int(16 * log1p(model.excess(text))))
+                tally[1, at] += t
+                tally[0, at] += c
         yield pa.record_batch([pa.array(np.arange(256)), pa.array(tally[1]), pa.array(tally[0])], names=["bin", "t", "c"])
 
     out = rows.mapInArrow(bins, "bin long, t long, c long").groupBy("bin").agg(F.sum("t"), F.sum("c")).collect()
