@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import levels, text
 from ..model import samples, table
-from ..sources import headers, wav
+from ..operators import ms_adpcm
+from ..sources import flac, headers, wav
 from ..streaming import carry
 from . import negotiate, registry
 from .registry import S
@@ -144,6 +145,29 @@ def wav_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return wav.decode(wav.encode(registry.quantized(spark, d)))
 
 
+@query("flac_round_trip", registry.SQL["quantize_s16"])
+def flac_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return flac.decode(flac.files(flac.frames(registry.quantized(spark, d)))).select("sid", "idx", "q")
+
+
+@query("flac_stereo_round_trip", registry.SQL["decorrelate"])
+def flac_stereo_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    coded = flac.frames(registry.stereo(spark, d), size=64, channels=("l", "r"))
+    both = flac.decode(flac.files(coded, size=64, channels=2))
+    side = lambda ch: F.max(F.when(F.col("ch") == ch, F.col("q")))
+    return both.groupBy("sid", "idx").agg(side(0).alias("l"), side(1).alias("r"))
+
+
+@query("ms_adpcm_encode")
+def ms_adpcm_encode(spark: SparkSession, d: str) -> DataFrame:
+    return ms_adpcm.encode(registry.quantized(spark, d)).select("sid", "block", "predictor", F.hex("data").alias("data"))
+
+
+@query("ms_adpcm_decode")
+def ms_adpcm_decode(spark: SparkSession, d: str) -> DataFrame:
+    return ms_adpcm.decode(ms_adpcm.encode(registry.quantized(spark, d)))
+
+
 @query("chunked_dc_offset", registry.SQL["dc_offset"].replace(f" + {registry.SHIFT!r}::DOUBLE", ""))
 def chunked_dc_offset(spark: SparkSession, d: str) -> DataFrame:
     return registry.out(carry.remove_dc(samples(spark, d), 0.995))
