@@ -63,12 +63,12 @@ def gate(df: DataFrame, threshold_db: float, channels: list[str]) -> DataFrame:
 
 
 #: Fixed value: gain of a centre or surround channel that is dealt to others.
-SIDE = amp(-3.01)
+SIDE = amp(-3.010299956639812)
 
 
 def mix_matrix(sources: list[str], targets: list[str]) -> dict[tuple[str, str], float]:
     """Gains by channel position: the same position 1; a centre or surround goes to mono
-    or to FL and FR at -3.01 dB, LFE nowhere."""
+    or to FL and FR at half power, LFE nowhere."""
     left, right = {"FL", "SL", "BL"}, {"FR", "SR", "BR"}
     out = {}
     for s in sources:

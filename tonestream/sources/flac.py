@@ -363,11 +363,13 @@ def read_frames(raw: bytes) -> Iterator[np.ndarray]:
 # ---- on the cluster
 
 
-def frames(df: DataFrame, *, size: int = 4096, bits: int = 16, channels: tuple[str, ...] = ("q",)) -> DataFrame:
+def frames(df: DataFrame, *, size: int = 4096, bits: int = 16, channels: tuple[str, ...] = ("q",), in_order: bool = False) -> DataFrame:
     """sid, idx and a column for each channel -> sid, block, n, frame, pcm. Samples meet
-    by stream and block; places in a stream have no gaps."""
+    by stream and block; places in a stream have no gaps. in_order sorts the blocks before
+    they are coded, so that the sort's sampling codes nothing twice."""
     rows = df.groupBy("sid", F.floor(F.col("idx") / size).alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", *channels))).alias("s"))
     rows = rows.select("sid", "block", *[F.col(f"s.{c}").cast("array<long>").alias(f"c{i}") for i, c in enumerate(channels)])
+    rows = rows.orderBy("sid", "block") if in_order else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
