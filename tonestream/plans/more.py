@@ -65,10 +65,10 @@ def toc_interpolate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("capability_match", "SELECT c.c_custkey, k.cap, CASE WHEN c.c_nationkey * 4000 NOT BETWEEN k.lo AND k.hi THEN 'rate' WHEN 1 + c.c_custkey % 8 > k.ch THEN 'channels' ELSE '' END AS reason FROM customer c, (VALUES (0, 8000, 48000, 2), (1, 44100, 96000, 8)) k(cap, lo, hi, ch)")
 def capability_match(spark: SparkSession, d: str) -> DataFrame:
-    caps = spark.createDataFrame([(0, 8000, 48000, 2), (1, 44100, 96000, 8)], "cap int, lo long, hi long, ch long")
-    c = table(spark, d, "customer")
+    caps = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(c, ("cap", "lo", "hi", "ch"), strict=True)]) for c in ((0, 8000, 48000, 2), (1, 44100, 96000, 8))])
+    c = table(spark, d, "customer").select("*", F.inline(caps))
     reason = F.when(~(F.col("c_nationkey") * 4000).between(F.col("lo"), F.col("hi")), F.lit("rate")).when(1 + F.col("c_custkey") % 8 > F.col("ch"), F.lit("channels")).otherwise(F.lit(""))
-    return c.join(F.broadcast(caps)).select("c_custkey", "cap", reason.alias("reason"))
+    return c.select("c_custkey", F.col("cap").cast("int").alias("cap"), reason.alias("reason"))
 
 
 @query("catalog_duplicates", "SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) > 1")

@@ -238,12 +238,12 @@ query("compare_streams", f"WITH {S}, g AS (SELECT sid, idx, v, v * {G3}::DOUBLE
 
 
 def queries() -> dict[str, Query]:
-    from . import more
+    from . import media, more
 
-    return QUERIES | more.QUERIES
+    return QUERIES | more.QUERIES | media.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more
+    from . import media, more
 
-    return SQL | more.SQL
+    return SQL | more.SQL | media.SQL
