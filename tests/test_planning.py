@@ -53,7 +53,7 @@ def test_specs():
 
 
 def test_partial_dates(spark):
-    cases = {"2024-05-06T07:08:09Z": "2024-05-06T07:08:09", "2024-05": "2024-05", "1999": "1999", "12/31/2001": "2001-12-31", "nonsense": ""}
+    cases = {"2024-05-06T07:08:09Z": "2024-05-06T07:08:09", "2024-05": "2024-05", "1999": "1999", "12/31/2001": "", "nonsense": ""}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.i for r in df.select("s", text.iso_date(text.partial_date(F.col("s"))).alias("i")).collect()} == cases
 

@@ -7,28 +7,46 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of partial dates, the first that fits counts: pattern, then the group of year,
-#: month, day, hour, minute, second.
+#: Names of months and days in dates.
+MONTHS = "January February March April May June July August September October November December".split()
+DAYS = "Mon Tue Wed Thu Fri Sat Sun".split()
+PARTS = ("year", "month", "day", "hour", "minute", "second")
+_SHORT = "|".join(m[:3] for m in MONTHS)
+_ANY = "|".join(dict.fromkeys([*MONTHS, *(m[:3] for m in MONTHS)]))
+_M, _D, _H, _MI = r"(0[1-9]|1[0-2])", r"(0[1-9]|[12]\d|3[01])", r"([01]?\d|2[0-3])", r"([0-5]\d)"
+_S = r"([0-5]\d)(?:[.,]\d+)?"
+_ZONE = r" (?:[+-]\d{4}|[A-Z]{3,4}(?:[+-]\d{1,2})?)"
+#: Patterns of partial dates with the parts that their groups hold; a group that is not
+#: there leaves its part unknown. Days with a weekday state a time, others a zone with it.
 DATES = [
-    (r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})", (1, 2, 3, 4, 5, 6)),
-    (r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})$", (1, 2, 3, 4, 5, 0)),
-    (r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2})$", (1, 2, 3, 4, 0, 0)),
-    (r"^(\d{4})[-/.](\d{2})[-/.](\d{2})$", (1, 2, 3, 0, 0, 0)),
-    (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3, 0, 0, 0)),
-    (r"^(\d{2})/(\d{2})/(\d{4})$", (3, 1, 2, 0, 0, 0)),
-    (r"^(\d{4})[-/.](\d{2})$", (1, 2, 0, 0, 0, 0)),
-    (r"^(\d{4})$", (1, 0, 0, 0, 0, 0)),
+    (rf"^(\d{{4}})-{_M}-{_D}T{_H}:{_MI}:{_S}(?:Z|[+-]\d\d:\d\d)?$", PARTS),
+    (rf"^(\d{{4}})(?:-{_M}(?:-{_D}(?:T{_H}(?::{_MI})?)?)?)?$", PARTS[:5]),
+    (rf"^(\d{{4}})/{_M}(?:/{_D}(?: {_H}(?::{_MI}(?::{_S})?)?)?)?$", PARTS),
+    (rf"(?i)^(?:{'|'.join(DAYS)}), {_D} ({_SHORT}) (\d{{4}}) {_H}:{_MI}(?::{_S})?(?-i:{_ZONE})?$", ("day", "month", "year", "hour", "minute", "second")),
+    (rf"(?i)^{_D} ({_SHORT}) (\d{{4}}|\d\d)(?: {_H}:{_MI}(?::{_S})?(?-i:{_ZONE}))?$", ("day", "month", "year", "hour", "minute", "second")),
+    (rf"(?i)^({_SHORT}) (\d\d)$", ("month", "year")),
+    (rf"(?i)^({_ANY}) ([12]?\d|3[01]|0[1-9]), (\d{{4}})$", ("month", "day", "year")),
+    (rf"(?i)^({_ANY}) (\d{{4}})$", ("month", "year")),
 ]
-PARTS = ("year", "month", "day", "hour", "minute", "second")
 
 
 def partial_date(text: Column) -> Column:
-    """A struct of the parts that a text states; all null if no pattern fits."""
-    out = F.struct(*[F.lit(None).cast("int").alias(p) for p in PARTS])
+    """A struct of the parts that a text states; all null if no pattern fits, or if the
+    month has no such day. Two-digit years from 69 on lie in the 20th century."""
+    none = F.struct(*[F.lit(None).cast("int").alias(p) for p in PARTS])
+    out = none
     for pattern, groups in reversed(DATES):
-        found = F.struct(*[(F.regexp_extract(text, pattern, g).cast("int") if g else F.lit(None).cast("int")).alias(p) for p, g in zip(PARTS, groups, strict=True)])
+        part = {p: F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) for i, p in enumerate(groups, 1)}
+        number = {p: part[p].try_cast("int") if p in part else F.lit(None).cast("int") for p in PARTS}
+        if groups[0] != "year":
+            at = F.instr(F.lit("".join(m[:3] for m in MONTHS).lower()), F.lower(F.left(part["month"], F.lit(3))))
+            number["month"] = ((at + 2) / 3).cast("int")
+            y = number["year"]
+            number["year"] = F.when(F.length(part["year"]) == 2, y + F.when(y >= 69, 1900).otherwise(2000)).otherwise(y)
+        found = F.struct(*[number[p].alias(p) for p in PARTS])
         out = F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(out)
-    return out
+    most = F.day(F.last_day(F.make_date(F.greatest(out["year"], F.lit(1)), out["month"], F.lit(1))))
+    return F.when(out["day"] > most, none).otherwise(out)
 
 
 def iso_date(d: Column) -> Column:

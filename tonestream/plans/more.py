@@ -120,11 +120,12 @@ def vorbis_tags(spark: SparkSession, d: str) -> DataFrame:
     return text.comments(e, "c").select("event_id", "name", F.lit(True).alias("ok"), F.length("value").cast("long").alias("n"))
 
 
-@query("partial_date_parse", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y') END AS iso FROM orders")
+@query("partial_date_parse", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 5 THEN strftime(o_orderdate, '%Y-%m') WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M') ELSE '' END AS iso FROM orders")
 def partial_date_parse(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy/MM")).otherwise(F.date_format("o_orderdate", "yyyy"))
-    return o.select("o_orderkey", text.iso_date(text.partial_date(raw)).alias("iso"))
+    """Dates of seven layouts, and one that no layout has (month first, in digits)."""
+    shapes = ["yyyy/MM/dd", "yyyy-MM", "yyyy", "EEE, dd MMM yyyy HH:mm:ss", "MMMM d, yyyy", "MMM yy", "dd MMM yyyy HH:mm 'GMT'", "MM/dd/yyyy"]
+    raw = F.get(F.array(*[F.date_format("o_orderdate", s) for s in shapes]), (F.col("o_orderkey") % 8).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", text.iso_date(text.partial_date(F.col("raw"))).alias("iso"))
 
 
 @query("bundle_merge", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles, max(last) AS last_text FROM (SELECT conv_id, role, min(turn) AS first, NULL AS last FROM conversations GROUP BY ALL UNION ALL SELECT conv_id, NULL, 1000000, arg_max(md5(text), turn) FROM conversations GROUP BY conv_id) GROUP BY conv_id")
