@@ -68,6 +68,32 @@ def test_other_filters_run(spark, source, tmp_path):
     assert flac.parse(out.read_bytes()).bits == 12 and pcm(out).shape == (N, 2) and flac.parse(out.read_bytes()).rate == 16000
 
 
+def test_streams_that_join(spark, source, tmp_path):
+    path, data = source
+    ir = np.zeros(50)
+    ir[[0, 20, 49]] = 0.5, 0.25, -0.125
+    (tmp_path / "ir.wav").write_bytes(wav.build(np.round(ir * 32768).astype("<i2").tobytes(), rate=8000))
+    spec = convert.Spec(str(path), str(tmp_path / "c.wav"), ("convolver",), inputs=(("room", str(tmp_path / "ir.wav")),), wires=("convolver.ir=room",))
+    convert.write(convert.build(spark, spec))
+    want = np.stack([np.convolve(data[:, i], ir) for i in (0, 1)], 1)
+    assert np.allclose(pcm(tmp_path / "c.wav"), want, atol=2) and len(want) == N + 49
+    short = data[:100, :1].astype("<i2")
+    (tmp_path / "s.wav").write_bytes(wav.build(short.tobytes(), rate=8000))
+    spec = convert.Spec(str(tmp_path / "s.wav"), str(tmp_path / "m.wav"), ("mixer[in=2]", "reverb:wet-level=0"), inputs=(("b", str(path)),), wires=("mixer.in1=b",))
+    plan = convert.build(spark, spec)
+    convert.write(plan)
+    got = pcm(tmp_path / "m.wav")
+    assert got.shape == (N, 1)  # the shorter port is silent behind its end
+    peak = np.abs(data.sum(1) / 32768).reshape(-1)
+    mono = data.sum(1) / np.concatenate([np.full(4096, max(1, peak[i : i + 4096].max())) for i in range(0, N, 4096)])[:N]
+    mono[:100] += short[:, 0]
+    assert np.allclose(got[:, 0], mono / 2, atol=2)
+    for inputs, wires, code in (((), (), "unconnected-port"), ((("a", "x"),), (), "unconnected-input"), ((("a", "x"),), ("convolver.ir=b",), "unknown-input"), ((("a", "x"),), ("gain.ir=a",), "bad-wire")):
+        with pytest.raises(convert.ConversionError) as e:
+            convert.build(spark, convert.Spec(str(path), "y.wav", ("convolver",), inputs=inputs, wires=wires))
+        assert e.value.code == code
+
+
 def test_problems(spark, source, tmp_path):
     path, _ = source
     out = tmp_path / "x.wav"

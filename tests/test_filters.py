@@ -80,3 +80,16 @@ def test_adpcm_decodes_what_it_encoded(spark):
 
 def test_levinson_recovers_a_first_order_process():
     assert np.allclose(codecs.levinson([1.0, 0.9, 0.81], 2), [0.9, 0.0])
+
+
+def test_reverb_levels():
+    """Dry alone is the input; an impulse comes back from the shortest comb, twice
+    through an even number of inverting all-passes, at the fixed gain times wet."""
+    from tonestream.operators import arrow
+
+    x = np.r_[1.0, np.zeros(3000)]
+    assert (arrow.reverb_block(x, 44100, 0.5, 0.5, 0.0, 1.0) == x).all()
+    y = arrow.reverb_block(x, 44100, 0.5, 0.5, 0.3, 0.0)
+    assert not y[:1116].any() and np.isclose(y[1116], 0.015 * 0.3)
+    spread = arrow.reverb_block(x, 44100, 0.5, 0.5, 0.3, 0.0, channel=1)
+    assert not spread[: 1116 + 23].any() and spread[1116 + 23]

@@ -18,6 +18,8 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("input")
     c.add_argument("output")
     c.add_argument("-e", "--filter", action="append", default=[], help="name:key=value,...; may be repeated")
+    c.add_argument("-i", "--input", dest="inputs", action="append", default=[], help="another input, NAME=PATH")
+    c.add_argument("-w", "--wire", action="append", default=[], help="FILTER.PORT=NAME")
     c.add_argument("-f", "--force", action="store_true", help="overwrite the output")
     c.add_argument("--dry-run", action="store_true", help="resolve and explain, write nothing")
     c.add_argument("--metrics", action="store_true", help="report samples, bytes and time")
@@ -28,16 +30,17 @@ def main(args: list[str] | None = None) -> int:
     try:
         if o.command == "list":
             print("formats:", *sorted({f for f, _ in convert.FORMATS.values()}))
-            print("filters:", *sorted(convert.FILTERS))
+            print("filters:", *sorted(convert.FILTERS | convert.JOINERS))
         elif o.command == "describe":
-            if o.name not in convert.FILTERS:
+            known = convert.FILTERS | convert.JOINERS
+            if o.name not in known:
                 raise convert.ConversionError("resolver", "unknown-filter", f"no filter {o.name!r}")
-            for k, v in convert.FILTERS[o.name][0].items():
+            for k, v in known[o.name][0].items():
                 print(f"{k}\t{type(v).__name__}\t{v}")
         else:
             spark = SparkSession.builder.appName("tonestream").getOrCreate()
             spark.sparkContext.setLogLevel("ERROR")
-            spec = convert.Spec(o.input, o.output, tuple(o.filter), o.force)
+            spec = convert.Spec(o.input, o.output, tuple(o.filter), o.force, tuple(tuple(i.split("=", 1)) for i in o.inputs if "=" in i), tuple(o.wire))
             if o.dry_run:
                 print(convert.build(spark, spec).explain())
                 return 0

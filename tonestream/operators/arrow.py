@@ -16,7 +16,7 @@ def reverb_block(x: np.ndarray, rate: int, room: float, damp: float, wet: float,
     """Eight parallel damped combs, then four all-passes in series."""
     feedback, damping = room * 0.28 + 0.7, damp * 0.4
     out = np.zeros(len(x))
-    scale = lambda d: max(1, round((d + SPREAD * channel) * rate / BASE))
+    scale = lambda d: max(1, int((d + SPREAD * channel) * rate / BASE + 0.5))
     for d in map(scale, COMBS):
         buf, low = np.zeros(d), 0.0
         for i, v in enumerate(x * INPUT):
@@ -30,7 +30,7 @@ def reverb_block(x: np.ndarray, rate: int, room: float, damp: float, wet: float,
             held = buf[i % d]
             buf[i % d] = v + held * 0.5
             out[i] = held - v
-    return out * wet * 3 + x * dry * 2
+    return out * wet + x * dry
 
 
 def per_stream(df: DataFrame, f) -> DataFrame:  # noqa: ANN001

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import companding, levels, text
-from ..operators import filters
+from ..operators import arrow, filters
 from ..sources import flac, flac_meta, tags, wav
 from . import negotiate
 
@@ -151,6 +151,9 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, Profile, tags.Bundl
 
 # ---- filters on the long form
 
+Ports = dict[str, tuple[DataFrame, Profile]]
+MOST_TAPS = 1 << 22
+
 
 def each(df: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A filter that treats channels alone: each is a stream of its own."""
@@ -235,6 +238,65 @@ def converted(df: DataFrame, p: Profile, o: dict[str, Any]) -> tuple[DataFrame,
     return (df, p) if bits == p.bits else (df.withColumn("v", levels.dequantize(levels.quantize(F.col("v"), bits), bits)), replace(p, bits=bits))
 
 
+def whole(df: DataFrame, f: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    """A filter over all samples of a channel in one task: f takes channel and samples."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        sid, ch = t["sid"][0].as_py(), t["ch"][0].as_py()
+        y = np.asarray(f(ch, t["v"].to_numpy()), np.float64)
+        return pa.table({"sid": pa.array(np.full(len(y), sid, np.int64)), "ch": pa.array(np.full(len(y), ch, np.int32)), "idx": pa.array(np.arange(len(y))), "v": pa.array(y)})
+
+    return df.select("sid", F.col("ch").cast("int").alias("ch"), "idx", "v").groupBy("sid", "ch").applyInArrow(run, "sid long, ch int, idx long, v double")
+
+
+def fitted(source: tuple[DataFrame, Profile], want: Profile) -> DataFrame:
+    """A stream brought to the rate and the channels of another."""
+    df, p = resampled(*source, {"sample-rate": want.rate})
+    if p.channels != want.channels:
+        name = next((n for n, at in LAYOUTS.items() if len(at) == want.channels), None)
+        if name is None:
+            raise ConversionError("resolver", "no-bridge", f"no layout of {want.channels} channels")
+        df, p = remixed(df, p, {"layout": name, "normalize": True})
+    return df
+
+
+def convolved(df: DataFrame, p: Profile, o: dict[str, Any], ports: Ports) -> tuple[DataFrame, Profile]:
+    """The impulse response is preloaded: its rate is made the stream's, a mono one serves
+    all channels, and it must not exceed MOST_TAPS samples, as each task holds it."""
+    if "ir" not in ports:
+        raise ConversionError("resolver", "unconnected-port", "convolver.ir")
+    mix, size = o["wet-dry-mix"], 1 << max(1, (o["block-size"] or BLOCK) - 1).bit_length()
+    ir, own = resampled(*ports["ir"], {"sample-rate": p.rate})
+    if own.channels not in (1, p.channels):
+        raise ConversionError("resolver", "ir-channels", f"an impulse response of {own.channels} channels for {p.channels}")
+    if (length := ir.agg(F.max("idx")).first()[0]) is None or length >= MOST_TAPS:
+        raise ConversionError("resolver", "ir-length", f"an impulse response must have 1 to {MOST_TAPS} samples")
+    taps = np.zeros((own.channels, length + 1))
+    for ch, idx, v in ir.select("ch", "idx", "v").toLocalIterator():
+        taps[ch, idx] = v
+    if o["normalize"]:
+        taps /= np.maximum(np.abs(taps).sum(1, keepdims=True), 1.0)
+
+    def run(ch: int, x: np.ndarray) -> np.ndarray:
+        h = taps[ch if own.channels > 1 else 0]
+        y = arrow.overlap_save(x, h, size)[: len(x) + len(h) - 1] * mix
+        y[: len(x)] += x * (1 - mix)
+        return y
+
+    return whole(df, run), p
+
+
+def mixed(df: DataFrame, p: Profile, o: dict[str, Any], ports: Ports) -> tuple[DataFrame, Profile]:
+    """Ports by place, each with weight 1 / ports; one that has ended is silent."""
+    others = [fitted(ports[k], p) for k in sorted(ports) if k != "in0"]
+    n = len(others) + 1
+    out = df.select("sid", "ch", "idx", "v")
+    for x in others:
+        out = out.unionByName(x.select("sid", "ch", "idx", "v"))
+    return out.groupBy("sid", "ch", "idx").agg((F.sum("v") / n).alias("v")), p
+
+
 def seconds(value: str) -> float:
     """"500ms", "1.5s", "2m" or a number of seconds."""
     for unit, factor in (("ms", 0.001), ("us", 1e-6), ("m", 60.0), ("s", 1.0), ("h", 3600.0)):
@@ -257,20 +319,25 @@ FILTERS: dict[str, tuple[dict[str, Any], Callable[..., tuple[DataFrame, Profile]
     "gate": ({"threshold-dbfs": -60.0, "mode": "hard"}, same(gated)),
     "compressor": ({"threshold-dbfs": -18.0, "ratio": 4.0, "attack-ms": 10.0, "release-ms": 100.0, "knee-db": 6.0, "makeup-gain-db": 0.0}, same(compressed)),
     "delay": ({"delay-ms": 300.0, "feedback": 0.3, "wet-level": 0.5, "dry-level": 1.0}, same(lambda df, p, o: each(df, lambda s: filters.delay(s, max(1, round(o["delay-ms"] / 1000 * p.rate)), o["feedback"], o["wet-level"], o["dry-level"])))),
+    "reverb": ({"room-size": 0.5, "damping": 0.5, "wet-level": 0.3, "dry-level": 1.0}, same(lambda df, p, o: whole(df, lambda ch, x: arrow.reverb_block(x, p.rate, o["room-size"], o["damping"], o["wet-level"], o["dry-level"], ch)))),
     "equalizer": ({"mode": "single", "type": "peaking", "frequency-hz": 1000.0, "gain-db": 0.0, "q": 0.7071067811865476, "bands": 10, "low-hz": 20.0, "high-hz": 20000.0, "manual-bands": "", "gains": "0,0,0,0,0,0,0,0,0,0"}, same(equalized)),
 }
 
+#: Filters that take more streams than the one before them.
+JOINERS = {"convolver": ({"wet-dry-mix": 1.0, "normalize": True, "block-size": 0}, convolved), "mixer": ({}, mixed)}
+
 
 def settings(spec: str) -> tuple[str, dict[str, Any]]:
-    """Name and values of a filter spec, typed as their defaults are."""
+    """Name and values of a filter spec, typed as their defaults are. The mixer's number
+    of ports is its parameter `in`."""
     try:
         parsed = text.parse_spec(spec)
     except ValueError as e:
         raise ConversionError("config", "bad-spec", str(e)) from e
     name = parsed["name"]
-    if name not in FILTERS:
+    if name not in FILTERS and name not in JOINERS:
         raise ConversionError("resolver", "unknown-filter", f"no filter {name!r}")
-    defaults = FILTERS[name][0]
+    defaults = (FILTERS | JOINERS)[name][0]
     given: dict[str, Any] = {}
     for k, v in parsed["options"].items():
         if k not in defaults:
@@ -289,12 +356,15 @@ def settings(spec: str) -> tuple[str, dict[str, Any]]:
 
 @dataclass(frozen=True)
 class Spec:
-    """What to do, as plain values: read `input`, apply `filters` in order, write `output`."""
+    """What to do, as plain values: read `input`, apply `filters` in order, write `output`.
+    `inputs` are more files by name; `wires` connect them: FILTER.PORT=NAME."""
 
     input: str
     output: str
     filters: tuple[str, ...] = ()
     force: bool = False
+    inputs: tuple[tuple[str, str], ...] = ()
+    wires: tuple[str, ...] = ()
 
     @property
     def target(self) -> str:
@@ -320,13 +390,40 @@ class Plan:
         return "\n".join([f"{self.spec.input}: {line(self.source)}", *[f"  {s}" for s in self.steps], f"{self.spec.output}: {line(self.result)}"])
 
 
+def wiring(spec: Spec, names: list[str]) -> dict[str, dict[str, str]]:
+    """The file at each port of a filter; each input and each port is used once."""
+    files, out, used = dict(spec.inputs), {}, set()
+    if len(files) < len(spec.inputs):
+        raise ConversionError("config", "duplicate-input", "an input is given twice")
+    for wire in spec.wires:
+        to, eq, source = wire.partition("=")
+        name, dot, port = to.partition(".")
+        source = source.partition(".")[0]
+        if not eq or not dot or name not in names or name not in JOINERS:
+            raise ConversionError("config", "bad-wire", wire)
+        if source not in files:
+            raise ConversionError("config", "unknown-input", source)
+        if source in used or port in out.get(name, {}):
+            raise ConversionError("config", "used-twice", wire)
+        used.add(source)
+        out.setdefault(name, {})[port] = files[source]
+    if idle := set(files) - used:
+        raise ConversionError("config", "unconnected-input", ", ".join(sorted(idle)))
+    return out
+
+
 def build(spark: SparkSession, spec: Spec) -> Plan:
     """Resolves names and settings first, so that mistakes show before any file is read."""
     target, chain = spec.target, [settings(f) for f in spec.filters]
+    wired = wiring(spec, [n for n, _ in chain])
     df, source, bundle = read(spark, spec.input)
     p = source
     for name, values in chain:
-        df, p = FILTERS[name][1](df, p, values)
+        if name in JOINERS:
+            ports = {port: read(spark, path)[:2] for port, path in wired.get(name, {}).items()}
+            df, p = JOINERS[name][1](df, p, values, ports)
+        else:
+            df, p = FILTERS[name][1](df, p, values)
     p = replace(p, codec=dict(FORMATS.values())[target])
     return Plan(spec, df, source, p, bundle, [f"{n}:{','.join(f'{k}={v}' for k, v in vs.items())}" for n, vs in chain])
 
