@@ -184,6 +184,15 @@ def test_forest_joins_what_pairs_join():
     assert len(edges) < len(fps)
 
 
+def test_forest_counts_bit_63():
+    base = np.uint64(0x1234_5678_9ABC_DEF0)
+    for low in (1 << 0, 1 << 1 | 1 << 0, 1 << 40 | 1 << 3):
+        fps = np.array([base, base ^ np.uint64(1 << 63 | low)], np.uint64).view(np.int64)
+        assert simhash.forest(fps, np.ones(2, bool), 3) == [tuple(fps.tolist())]
+    far = np.array([base, base ^ np.uint64(2**64 - 1)], np.uint64).view(np.int64)  # as a signed XOR -1, whose magnitude has one bit
+    assert simhash.forest(far, np.ones(2, bool), 3) == []
+
+
 def test_segments_are_maximal():
     scores = [(0, 4.0), (3, 3.0), (40, 1.0), (41, 2.0)]
     assert [(a, b) for a, b, _ in toxicity.segments(scores, 60, -0.5)] == [(0, 4), (40, 42)]

@@ -72,11 +72,12 @@ def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42, id_col: str
 def forest(fps: np.ndarray, stored: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges that connect what the links between `stored` ones and all connect, at most
     one per member. Distances are taken in blocks, so memory stays linear."""
+    bits = fps.view(np.uint64)  # of signed numbers numpy counts the bits of the magnitude
     label, edges = np.arange(len(fps)), []
     table = np.flatnonzero(stored)
     step = max(1, 2_000_000 // len(fps))
     for k in range(0, len(table), step):
-        near = np.bitwise_count(fps[table[k : k + step], None] ^ fps[None, :]) <= most
+        near = np.bitwise_count(bits[table[k : k + step], None] ^ bits[None, :]) <= most
         for row in near:
             groups = np.unique(label[row])
             if len(groups) > 1:
