@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tonestream.llm import exact_dedup, html, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity, warc
+from tonestream.llm import exact_dedup, html, mixing, near, packing, quality, simhash, suffix_dedup, token_counts, toxicity, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -193,6 +193,52 @@ def test_forest_counts_bit_63():
     assert simhash.forest(far, np.ones(2, bool), 3) == []
 
 
+def shingles(t):
+    words = (t or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_are_all_found(spark, none):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 4) for _ in range(rng.randint(3, 150)))) for i in range(60)]
+    for i, t in rows[:40]:
+        words = t.split()
+        for k in range(4):  # similarities on both sides of 0.8
+            own = list(words)
+            for _ in range(rng.randint(1, 1 + len(words) // 40)):
+                own[rng.randrange(len(own))] = f"new{rng.random()}"
+            rows.append((100 + 10 * i + k, " ".join(own)))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, rows[0][1]), (903, rows[50][1] + " tail")]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = collections.defaultdict(set)
+    for r, (i, t) in zip(root, rows, strict=True):
+        want[r].add((i, hashlib.md5((t or "").encode()).hexdigest()))
+    got = collections.defaultdict(set)
+    for r in near.near_duplicates(df).collect():
+        got[r.root].add((r.doc_id, r.digest))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert any(len(x) > 2 for x in want.values()) and near.kept(df).count() == len(want)
+    assert near.kept(none).collect() == []
+
+
+def test_near_copies_without_single_ids(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    copy = [*base[:50], "new", *base[51:]]
+    other = [f"v{i}" for i in range(100)]
+    rows = [(None, " ".join(base), "en", "a", 0), (None, " ".join(copy), "en", "a", 0), (5, " ".join(other), "en", "a", 0), (5, " ".join(other) + " tail", "en", "a", 0)]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(str(r.doc_id) for r in left) == ["5", "None"]
+
+
 def test_segments_are_maximal():
     scores = [(0, 4.0), (3, 3.0), (40, 1.0), (41, 2.0)]
     assert [(a, b) for a, b, _ in toxicity.segments(scores, 60, -0.5)] == [(0, 4), (40, 42)]
