@@ -99,6 +99,19 @@ def test_mixing(docs, none):
     assert mixing.mix(none).collect() == []
 
 
+def test_mixing_stage_without_single_ids(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * n, "en", "abc"[n % 3], 0) for i in (None, 3) for n in range(1, 40)] + [(3, "same " * 9, "en", "b", 0)] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = collections.Counter()
+    for r in mixing.mix(df, row_key=F.md5(df["text"].cast("binary"))).collect():
+        want[r.doc_id, r.row_key] += r.copies
+    got = corpus_pipeline.mix_sources(spark, df, "")
+    assert got.columns == df.columns
+    assert collections.Counter((r.doc_id, hashlib.md5(r.text.encode()).hexdigest()) for r in got.collect()) == +want
+
+
 def test_exact_dedup(docs, none):
     plain = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
     rows = exact_dedup.exact_dedup(docs).collect()

@@ -39,7 +39,7 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, *, seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_key: Column | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     Every document of a source expects target / source_size copies. Documents of a
@@ -55,12 +55,13 @@ def mix(docs: DataFrame, *, seed: str = "mix", share: float = 1.5, cap: float =
     Null and empty texts have size 0 and take nothing. A null source is a source, last in
     order. A source of size 0 has target 0. Rows repeated with one doc_id are sampled each;
     rows that tie in everything are interchangeable. An empty table gives no rows. Other
-    columns are ignored.
+    columns are ignored. A `row_key` stands behind the id in the order and in the rows.
     """
+    extra = [] if row_key is None else [row_key.alias("row_key")]
     size = F.regexp_count(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     ident = docs[id_col].cast("long")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary"))
-    slim = saved(docs.select(ident.alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size"), key.alias("key")))
+    slim = saved(docs.select(ident.alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size"), key.alias("key"), *extra))
     digits = F.length(F.bin("size"))
     rows = slim.withColumns({"digits": digits, "salt": F.substring("key", 1, 2)}).withColumn("head", F.expr("shiftright(size, greatest(digits - 4, 0))"))
 
@@ -73,10 +74,10 @@ def mix(docs: DataFrame, *, seed: str = "mix", share: float = 1.5, cap: float =
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     cells = cells.withColumns({"rate": rate, "shift": offset(F.col("source"), seed)})
 
-    here = rows.withColumn("i", F.row_number().over(Window.partitionBy(*CELL).orderBy("key", "doc_id")).cast("long"))
+    here = rows.withColumn("i", F.row_number().over(Window.partitionBy(*CELL).orderBy("key", "doc_id", *(["row_key"] if extra else []))).cast("long"))
     c = cells.select(*[F.col(x).alias(f"c_{x}") for x in CELL], "before", "rate", "shift", "source_size", "target")
     both = here.join(c, F.expr(" and ".join(f"{x} <=> c_{x}" for x in CELL)))
     i = F.col("before") + F.col("i")
     crossed = F.floor(F.col("shift") + i * F.col("rate")) - F.floor(F.col("shift") + (i - 1) * F.col("rate"))
     copies = F.least(crossed, F.lit(int(cap))).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row_key"] if extra else []))
