@@ -86,6 +86,15 @@ def test_quality(docs, none):
     assert quality.quality(none).collect() == []
 
 
+def test_quality_rejects_repeated_lines(spark):
+    line = "this line stands here again\n"
+    own = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, line * 6 + own), (2, own)]  # 30 of 100 words repeat: less than the base rule's half
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[1].base_failed and got[1].n_covered_words == 30 and not got[1].kept
+    assert not got[2].base_failed and got[2].kept
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)

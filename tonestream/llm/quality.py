@@ -101,7 +101,7 @@ def judge_block(docs: list[list[bytes]], least: int) -> tuple[np.ndarray, np.nda
     return np.add.reduceat(repeated, first, dtype=np.int64), np.add.reduceat(spans, first, dtype=np.int64), np.maximum.reduceat(best, first)
 
 
-def quality(docs: DataFrame, *, least_repeat: int = 16, most_covered: float = 0.2, longest_repeat: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, *, least_repeat: int = 5, most_covered: float = 0.2, longest_repeat: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its base figures and the verdict on repetition.
 
     A suffix array over the text's words gives longest common prefixes; its intervals
