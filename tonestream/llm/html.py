@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, freed, saved
+from .quality import covered, suffix_order
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -29,8 +32,15 @@ BOILERPLATE = NAMES(
     " contentinfo complementary dialog skip widget copyright"
 )
 MAIN = NAMES("article articlebody story entry post content main")
-#: Tokens that a repeated string has at least.
+#: Tokens that a repeated string has at least; a power of two.
 LONG = 8
+#: Share of a host's distinct pages, and number of them, that hold a boilerplate string:
+#: outside marked articles, and inside them, where licences and quotations recur too.
+LOOSE, INSIDE = (0.2, 2), (0.5, 4)
+#: Bytes of a host's streams that one array holds, unless PAGES pages have more.
+GROUP, PAGES = 4 << 20, 8
+#: Strings that may be broadcast, 16 bytes each.
+FEW = 500_000
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -51,9 +61,9 @@ def chrome(name: str, own: dict[str, str], in_article: bool) -> bool:
     return bool(words & BOILERPLATE) and name != "article" and not words & MAIN
 
 
-def blocks(html: str) -> tuple[list[str], list[str], list[str]]:
-    """Blocks of text in page order: of articles (or the main element), of page
-    furniture, and of neither."""
+def blocks(html: str) -> list[tuple[str, str]]:
+    """Blocks of text in page order, each with where it stands: "article" (main elements
+    included), "chrome" for page furniture, or "loose"."""
     found: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # element, where its text belongs
     parts: list[str] = []
@@ -108,114 +118,226 @@ def blocks(html: str) -> tuple[list[str], list[str], list[str]]:
         outer = stack[-1][1] if stack else "loose"
         if outer == "chrome" or chrome(name, own, outer == "article"):
             new = "chrome"
-        elif name == "article" or outer == "article":
+        elif name in ("article", "main") or outer == "article" or own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody":
             new = "article"
-        elif name == "main" or own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody" or outer == "main":
-            new = "main"
         else:
             new = outer
         if name not in INLINE or new != outer:
             stack.append((name, new))
         enter(new)
     flush()
-    kinds = {k for k, _ in found}
-    best = "article" if "article" in kinds else "main"
-    return [t for k, t in found if k == best], [t for k, t in found if k == "chrome"], [t for k, t in found if k not in (best, "chrome")]
+    return found
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, html -> page_id, url, host, text (null if no article is marked),
-    stream: the tokens outside articles with block ends, blocks: the loose ones."""
+    """page_id, url, html -> page_id, url, host, u (a digest of the stream), stream: a line
+    per block, led by the first letter of where it stands."""
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            hosts, texts, streams, loose = [], [], [], []
+            hosts, streams = [], []
             for url, html in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
-                main, around, rest = blocks(html or "")
                 m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url or "")
                 hosts.append(m[1].lower() if m else "")
-                texts.append(" ".join(main) if main or not rest else None)
-                loose.append([] if main else rest)
-                streams.append(" ".join(around + rest))
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(streams, pa.string()), pa.array(loose, pa.list_(pa.string()))], names=["page_id", "url", "host", "text", "stream", "blocks"])
+                streams.append("\n".join(where[0] + text for where, text in blocks(html or "")))
+            u = np.array([xxhash.xxh3_64_intdigest(s.encode()) for s in streams], np.uint64).view(np.int64)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(u), pa.array(streams, pa.string())], names=["page_id", "url", "host", "u", "stream"])
 
 
-def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, stream -> host, page (a digest of the stream), suffix of LONG tokens."""
-    import xxhash
+def tokens(stream: str) -> tuple[list[str], list[str]]:
+    """The tokens of a stream, and for each where its block stands."""
+    words, where = [], []
+    for line in stream.split("\n"):
+        own = line[1:].split(" ") if line else []
+        words += own
+        where += line[:1] * len(own)
+    return words, where
 
+
+def digest(words: list[str], at: int) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words[at : at + LONG]).encode())
+
+
+def page_counts(streams: list[str]) -> dict[bytes, int]:
+    """Strings of LONG tokens that begin longer or equal repeats, with the number of
+    pages that hold them, for those on two pages or more.
+
+    The pages' token streams are concatenated, each ended by a code found nowhere else,
+    and their suffixes sorted; an interval of the array with common prefixes of LONG
+    tokens or more is one such string, and its distinct pages are counted.
+    """
+    names: defaultdict[str, int] = defaultdict()
+    names.default_factory = names.__len__
+    words = [tokens(s)[0] for s in streams]
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    codes = np.fromiter((c for k, w in enumerate(words) for c in (*map(names.__getitem__, w), -1 - k)), np.int64, int(sizes.sum()))
+    order, levels = suffix_order(codes)
+    depth = LONG.bit_length() - 1
+    if len(levels) <= depth:
+        return {}
+    rank = levels[depth][order]  # equal for prefixes of LONG tokens
+    page = np.searchsorted(ends, order, "right")
+    first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+    by = np.lexsort((page, rank))
+    new = np.r_[True, (rank[by][1:] != rank[by][:-1]) | (page[by][1:] != page[by][:-1])]
+    pages = np.add.reduceat(new, first, dtype=np.int64)
+    some = pages > 1
+    at, own = order[first[some]], page[first[some]]
+    begins = ends - sizes
+    return {digest(words[p], int(a - begins[p])): int(n) for a, p, n in zip(at, own, pages[some], strict=True)}
+
+
+def need(pages: int, rule: tuple[float, int]) -> float:
+    """Pages that must hold a string for it to be boilerplate on a host of `pages`."""
+    return max(rule[0] * pages, rule[1])
+
+
+def local_strings(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """host, part, parts, streams -> host, part, parts, pages, strings (structs of w, n).
+
+    Of a host in one part, strings on two pages or more. Of a host in several, those on at
+    least its share of the part's pages: a string on that share of all pages is on as
+    large a share of some part's, so none is missed.
+    """
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            rows = []
-            for host, stream in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns), strict=True):
-                tokens, page = stream.split(), xxhash.xxh3_64_intdigest(stream) - (1 << 63)
-                rows += {(host, page, " ".join(tokens[i : i + LONG])) for i in range(len(tokens) - LONG + 1)}
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["host", "page", "suffix"])
+        for host, part, parts, streams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = page_counts(streams)
+            if parts > 1:
+                least = share * len(streams)
+                if least <= 1:  # a single page suffices
+                    found |= {digest(w, i): 1 for s in streams for w in [tokens(s)[0]] for i in range(len(w) - LONG + 1) if digest(w, i) not in found}
+                found = {w: n for w, n in found.items() if n >= least}
+            strings = pa.array([[{"w": w, "n": n} for w, n in found.items()]], pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
+            yield pa.record_batch([pa.array([host]), pa.array([part], pa.int64()), pa.array([parts], pa.int64()), pa.array([len(streams)], pa.int64()), strings], names=["host", "part", "parts", "pages", "strings"])
 
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes in order of host, suffix -> those that neighbours on two pages share."""
-    held: tuple | None = None
+def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, streams, wanted -> host, w, n: pages of this part that hold each wanted one."""
     for batch in batches:
-        out = []
-        for host, page, suffix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0] == host and held[2] == suffix:
-                if held[1] is not None and held[1] != page:
-                    out.append((host, suffix))
-                    held = (host, None, suffix)
-            else:
-                held = (host, page, suffix)
-        yield pa.record_batch([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["host", "suffix"])
+        for host, streams, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            count = dict.fromkeys(wanted, 0)
+            for s in streams:
+                words = tokens(s)[0]
+                for w in {digest(words, i) for i in range(len(words) - LONG + 1)} & count.keys():
+                    count[w] += 1
+            yield pa.record_batch([pa.array([host] * len(count), pa.string()), pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["host", "w", "n"])
 
 
-def unique_runs(blocks_: list[str], repeated: set[str]) -> str:
-    """What no repeated string covers, block by block."""
-    tokens = [(i, t) for i, b in enumerate(blocks_) for t in b.split()]
-    n = len(tokens)
-    edge = np.zeros(n + LONG + 1, np.int64)
-    for i in range(n - LONG + 1):
-        if " ".join(t for _, t in tokens[i : i + LONG]) in repeated:
-            edge[i] += 1
-            edge[i + LONG] -= 1
-    covered = np.cumsum(edge)[:n] > 0
-    return " ".join(t for (_, t), c in zip(tokens, covered.tolist(), strict=True) if not c)
+def unique_runs(stream: str, known: dict[bytes, bool]) -> str:
+    """The page's main text: its marked article, or without one its loose blocks, less
+    what boilerplate covers. known: strings, and whether they are so inside articles too.
 
+    An article of which boilerplate would cover over half is a copy of another page's,
+    not framed by it, and stays whole."""
+    words, where = tokens(stream)
+    n, main = len(words), "a" if "a" in where else "l"
+    if not known or n < LONG:
+        return " ".join(w for w, k in zip(words, where, strict=True) if k == main)
+    hits = [(i, known[d]) for i in range(n - LONG + 1) if (d := digest(words, i)) in known]
+    starts = np.array([i for i, inside in hits if main == "l" or inside], np.int64)
+    gone = covered(starts, np.full(len(starts), LONG), n) if len(starts) else np.zeros(n, bool)
+    own = np.array([k == main for k in where])
+    if main == "a" and 2 * (gone & own).sum() > own.sum():
+        gone[:] = False
+    return " ".join(words[i] for i in np.flatnonzero(own & ~gone))
 
-def main_text(pages: DataFrame) -> DataFrame:
+
+def boilerplate(done: DataFrame) -> DataFrame:
+    """done: host, u, stream -> host, w, inside: each host's boilerplate strings.
+
+    A host's distinct streams are dealt into parts of about GROUP bytes by their digest;
+    each part has a suffix array of its own. Hosts in one part are counted by it; of
+    others the parts' strings are counted again over all parts, which are written once.
+    """
+    share = min(LOOSE[0], INSIDE[0])
+    spark = done.sparkSession
+    once = done.groupBy("host", "u").agg(F.max(F.octet_length("stream")).alias("size"))
+    large = once.groupBy("host").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).filter(F.col("size") > GROUP)
+    large = saved(large.select("host", F.greatest(F.ceil(F.least(F.col("size") / GROUP, F.col("n") / PAGES)), F.lit(1)).cast("long").alias("parts")))
+    if large.count() <= FEW:  # hosts of over GROUP bytes, a short row each
+        large = F.broadcast(large)
+    rows = done.join(large, "host", "left").select("host", "stream", F.coalesce("parts", F.lit(1)).alias("parts"), F.pmod("u", F.coalesce("parts", F.lit(1))).alias("part"))
+    groups = saved(rows.groupBy("host", "part", "parts").agg(F.collect_set("stream").alias("streams")))
+    freed(spark)
+    local = saved(groups.select("host", "part", "parts", "streams").mapInArrow(lambda it: local_strings(it, share), "host string, part long, parts long, pages long, strings array<struct<w:binary,n:long>>"))
+    pages = local.groupBy("host").agg(F.sum("pages").alias("pages"))
+    each = local.select("host", "parts", F.explode("strings").alias("s")).select("host", "parts", "s.w", "s.n")
+    found = each.filter("parts = 1").select("host", "w", "n")
+    wanted = saved(each.filter("parts > 1").groupBy("host").agg(F.collect_set("w").alias("wanted")))
+    if wanted.take(1):
+        more = groups.join(wanted, "host").select("host", "streams", "wanted").mapInArrow(recount, "host string, w binary, n long")
+        found = found.unionByName(more.groupBy("host", "w").agg(F.sum("n").alias("n")))
+    least = lambda rule: F.greatest(F.col("pages") * rule[0], F.lit(float(rule[1])))
+    out = saved(found.join(pages, "host").filter(F.col("n") >= F.least(least(LOOSE), least(INSIDE))).select("host", "w", (F.col("n") >= least(INSIDE)).alias("inside")))
+    for x in (groups, local, wanted):
+        dropped(x)
+    return out
+
+
+def strip(known_of: Callable[[str], dict[bytes, bool]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [unique_runs(s, known_of(h)) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+def strip_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, host, stream, strings, sorted so that a host's strings come before
+    its pages."""
+    host, known = None, {}
+    for batch in batches:
+        rows = []
+        for page, url, h, stream, strings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if h != host:
+                host, known = h, {}
+            if strings is not None:
+                known = {s["w"]: s["inside"] for s in strings}
+            else:
+                rows.append((page, url, unique_runs(stream, known)))
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
+
+
+def main_text(pages: DataFrame, *, few: int = FEW) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Text that the page marks as an article (or as main) is its text, whole: lines that
-    many articles share, such as licences, are part of them. Where a page marks none, a
-    suffix array over the token streams of its host tells what is boilerplate: equal
-    streams are one page, suffixes of LONG tokens are sorted within the host, and what
-    neighbours on two pages share is covered and removed; the unique runs stay.
+    Every page goes through the suffix array of its host. Its blocks of text, bounded by
+    tags, form a token stream; a host's distinct streams are concatenated and their
+    suffixes sorted, and a string of LONG tokens or more on enough distinct pages is
+    boilerplate: on a fifth of them, and two, or inside a marked article on half of them,
+    and four, since licences, quotations and copies recur there. Boilerplate is removed
+    and the unique runs of the main text stay. Text that differs from page to page can't
+    be told by repetition: menus, adverts, comments and the like are left out by the
+    elements and names that mark them, and where a page marks an article (or main), only
+    that is its text.
 
     Null and empty html gives an empty text. Null ids and urls are kept; pages without a
-    host form one host. Repeated rows are extracted alike. An empty table gives no rows.
+    host form one host. Repeated rows are extracted alike and count as one page, and ties
+    can't occur. An empty table gives no rows; other columns are ignored. Memory: a page,
+    and the array of GROUP bytes or of PAGES pages, whichever is more.
+
+    Up to `few` strings of all hosts are broadcast; beyond that a host's strings are
+    sorted before its pages, which are dealt out over parts.
     """
+    spark = pages.sparkSession
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    done = saved(slim.mapInArrow(parse, "page_id long, url string, host string, text string, stream string, blocks array<string>"))
-    freed(pages.sparkSession)
-    marked, rest = done.filter("text is not null"), done.filter("text is null")
-    out = marked.select("page_id", "url", "text")
-    hosts = saved(rest.select("host").distinct())
-    if hosts.take(1):
-        streams = done.join(hosts, "host", "left_semi").select("host", "stream").distinct()
-        order = streams.mapInArrow(suffixes, "host string, page long, suffix string")
-        # each page's suffix once; suffixes of a host are spread over tasks by themselves
-        order = order.repartition("host", "suffix").sortWithinPartitions("host", "suffix", "page")
-        shared = saved(order.mapInArrow(neighbours, "host string, suffix string"))
-        own = rest.select("page_id", "url", "host", "blocks").withColumn("u", F.xxhash64("page_id", "url", "blocks"))
-        grams = own.withColumn("tokens", F.split(F.concat_ws(" ", "blocks"), " "))
-        grams = grams.select("u", "host", F.explode(F.expr(f"array_distinct(transform(sequence(1, greatest(size(tokens) - {LONG - 1}, 1)), i -> array_join(slice(tokens, i, {LONG}), ' ')))")).alias("suffix"))
-        hits = grams.join(shared, ["host", "suffix"], "left_semi").groupBy("u").agg(F.collect_set("suffix").alias("hits"))
-
-        def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                text = [unique_runs(x, set(h or ())) for x, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
-
-        left = saved(own.join(hits, "u", "left").select("page_id", "url", "blocks", "hits").mapInArrow(strip, "page_id long, url string, text string"))
-        dropped(shared)
-        out = out.unionByName(left)
+    done = saved(slim.mapInArrow(parse, "page_id long, url string, host string, u long, stream string"))
+    freed(spark)
+    strings = boilerplate(done)
+    schema = "page_id long, url string, text string"
+    if strings.count() <= few:
+        known: dict[str, dict[bytes, bool]] = defaultdict(dict)
+        for r in strings.collect():
+            known[r.host][bytes(r.w)] = r.inside
+        shared = spark.sparkContext.broadcast(dict(known))
+        out = done.select("page_id", "url", "host", "stream").mapInArrow(strip(lambda h: shared.value.get(h, {})), schema)
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        lists = strings.groupBy("host").agg(F.collect_list(F.struct("w", "inside")).alias("strings"))
+        lists = lists.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "host", F.lit(None).cast("string").alias("stream"), "strings", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        own = done.select("page_id", "url", "host", "stream", F.lit(None).cast("array<struct<w:binary,inside:boolean>>").alias("strings"), F.pmod("u", F.lit(parts)).cast("int").alias("part"))
+        both = own.unionByName(lists).repartition("host", "part").sortWithinPartitions("host", "part", F.col("strings").isNull())
+        out = both.select("page_id", "url", "host", "stream", "strings").mapInArrow(strip_sorted, schema)
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
