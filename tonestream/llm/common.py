@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share. What is
+    not dropped before goes when the driver's JVM ends.
 
     Only a local master may go without that setting; it gets a folder of its own.
     """
@@ -29,7 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tonestream-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tonestream-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tonestream-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def saved(df: DataFrame, *, sort: list[str] | None = None) -> DataFrame:
@@ -45,10 +54,9 @@ def saved(df: DataFrame, *, sort: list[str] | None = None) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes what saved() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "saved_path", None)
+    path = getattr(df, "saved_path", None)
     if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove_path(df.sparkSession, path)
 
 
 def freed(spark: SparkSession) -> None:
@@ -57,16 +65,17 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def join_skewed(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, most: int = 1000) -> DataFrame:
-    """Inner join of rows with groups, which has one row per key and the key's number
-    of rows in `size`.
+def join_skewed(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, most: int = 1000, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with groups, which has one row per key and the key's
+    number of rows in `size`.
 
     Keys that hold more than 1/most of all `total` rows are at most `most` in number, a
     proven bound; those groups are broadcast, so their rows never meet in one task. The
     other keys go through an ordinary shuffled join, in which no key is hot.
     """
     hot = F.col(size) * F.lit(most) > F.lit(total)
-    head, tail = groups.filter(hot), groups.filter(~hot)
-    if not head.take(1):
-        return rows.join(groups, key)
-    return rows.join(F.broadcast(head), key).unionByName(rows.join(F.broadcast(head.select(*key)), key, "left_anti").join(tail, key))
+    head = groups.filter(hot)
+    if head.isEmpty():
+        return rows.join(groups, key, how)
+    rest = rows.join(F.broadcast(head.select(*key)), key, "left_anti").join(groups.filter(~hot), key, how)
+    return rows.join(F.broadcast(head), key).unionByName(rest)
