@@ -4,55 +4,54 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import exp, log, log1p
+from dataclasses import dataclass, field
+from math import copysign, exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, saved
+
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-#: Bits of a feature's bucket, and independent hashings. The tables broadcast are bounded
-#: by ROWS * 2**BITS entries, whatever the vocabulary.
+#: Bits of a feature's bucket, and independent hashings: the tables broadcast have
+#: ROWS * 2**BITS places, whatever the vocabulary.
 BITS, ROWS = 20, 2
 PREFIX = 4
-#: Score of a word that tells nothing.
-DRIFT = -0.05
-#: Likelihood ratio statistic that a feature of toxic texts must exceed: with one degree
-#: of freedom chance gives this to less than one feature in 10,000.
-SURE = 16.0
-#: Karlin-Altschul constant for the number of independent starts of a segment.
-STARTS = 0.1
+#: Texts that a prior counts for, and what a word's log-odds must exceed to score above 0.
+PRIOR, DRIFT = 1.0, 1.5
+#: Bins of word scores, and of the texts' evidence, on either side of 0.
+STEP, BINS = 0.05, 400
 
 
 def features(word: str) -> tuple[str, ...]:
-    """A stripped, lower-case word and, if it is longer, its beginning."""
+    """A word's beginning, if it is longer, and the word, stripped and in lower case."""
     w = word.strip(EDGE)
-    return (w, "^" + w[:PREFIX]) if len(w) > PREFIX else (w,) if w else ()
+    return ("^" + w[:PREFIX], w) if len(w) > PREFIX else (w,) if w else ()
 
 
-def buckets(feature: str) -> list[int]:
+def places(feature: str) -> list[int]:
     """Its place in each hashing."""
     raw = feature.encode()
-    return [row << BITS | xxhash.xxh64_intdigest(raw, row) & (1 << BITS) - 1 for row in range(ROWS)]
+    return [xxhash.xxh64_intdigest(raw, row) & (1 << BITS) - 1 for row in range(ROWS)]
 
 
-def segments(scores: list[tuple[int, float]], n: int, drift: float) -> list[tuple[int, int, float]]:
+def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, as (first, last + 1, score), in linear time.
 
-    scores: places with a positive score, in order; every other place of the n scores
-    `drift`, below zero. Candidates are kept on a stack with the sums before and after
-    them, and joined while an earlier one starts lower and ends lower.
+    Candidates are kept on a stack with the sums before and after them, and joined while
+    an earlier one starts lower and ends lower.
     """
     stack: list[tuple[int, int, float, float]] = []
-    total, at = 0.0, 0
-    for place, s in scores:
-        total += drift * (place - at)
-        new = (place, place + 1, total, total + s)
-        total, at = total + s, place + 1
+    total = 0.0
+    for place, s in enumerate(scores):
+        before, total = total, total + s
+        if s <= 0:
+            continue
+        new = (place, place + 1, before, total)
         while stack:
             k = len(stack) - 1
             while k >= 0 and stack[k][2] >= new[2]:
@@ -67,116 +66,164 @@ def segments(scores: list[tuple[int, float]], n: int, drift: float) -> list[tupl
 
 @dataclass
 class Model:
-    """weights: bucket -> log-odds, where sure; rate: the scores' lambda; fit: intercept
-    and slope of the calibration."""
-
-    weights: dict[int, float]
-    rate: float
-    fit: tuple[float, float]
-
-    def __post_init__(self) -> None:
-        self.known: dict[str, float] = {}
-
-    def word(self, raw: str) -> float:
-        """The largest log-odds of its features; a feature has its least in all hashings,
-        so that a collision in one of them doesn't count."""
-        if raw not in self.known:
+    """counts: for each hashing and place the toxic and clean texts with a feature; texts:
+    how many of each there are; rate and starts: lambda and K of the chance extreme; fit:
+    intercept and slope of the calibration."""
+
+    counts: np.ndarray
+    texts: tuple[int, int]
+    rate: float = 1.0
+    starts: float = 1.0
+    fit: tuple[float, float] = (-1000.0, 0.0)
+    known: dict[tuple[str, int], float] = field(default_factory=dict)
+
+    def word(self, raw: str, own: int = -1) -> float:
+        """Log-odds of the word less DRIFT. Its share of toxic texts has a Dirichlet prior
+        of PRIOR texts with the share of its beginning, whose prior is the share of all
+        texts; of several hashings the least count holds. A text that was counted itself,
+        as class `own`, is left out."""
+        key = (raw, own)
+        if key not in self.known:
             if len(self.known) > 500_000:
                 self.known.clear()
-            each = [min(self.weights.get(b, DRIFT) for b in buckets(f)) for f in features(raw)]
-            self.known[raw] = max([DRIFT, *each])
-        return self.known[raw]
+            toxic, clean = self.texts
+            share = base = toxic / (toxic + clean)
+            for f in features(raw):
+                t, c = np.min([self.counts[row, at] for row, at in enumerate(places(f))], axis=0).tolist()
+                t, c = max(0, t - (own == 1)), max(0, c - (own == 0))
+                share = (t + PRIOR * share) / (t + c + PRIOR)
+            self.known[key] = log(share / (1 - share) * (1 - base) / base) - DRIFT
+        return self.known[key]
+
+    def scan(self, text: str, own: int = -1) -> tuple[list[float], list[tuple[int, int, float]]]:
+        """Word scores and maximal segments; without a positive score the best word."""
+        scores = [self.word(w, own) for w in WORDS.findall(text.lower())]
+        found = segments(scores)
+        if not found and scores:
+            at = int(np.argmax(scores))
+            found = [(at, at + 1, scores[at])]
+        return scores, found
+
+    def chance(self, n: int) -> float:
+        """The extreme that a clean text of n words is expected to exceed once."""
+        return log(self.starts * max(1, n))
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
-        """Significant passages: first word, last word + 1, excess over the extreme value
-        that a clean text of this length reaches by chance."""
-        words = WORDS.findall(text.lower())
-        scores = [(i, s) for i, s in enumerate(map(self.word, words)) if s > 0]
-        chance = log(max(1.0, STARTS * len(words)))
-        return [(a, b, self.rate * s - chance) for a, b, s in segments(scores, len(words), DRIFT) if self.rate * s > chance]
-
-    def excess(self, text: str) -> float:
-        return sum(x for *_, x in self.passages(text))
-
-    def score(self, excess: float) -> float:
-        z = self.fit[0] + self.fit[1] * log1p(excess)
+        """Significant passages: first word, last word + 1, excess over the chance extreme."""
+        scores, found = self.scan(text)
+        limit = self.chance(len(scores))
+        return [(a, b, self.rate * s - limit) for a, b, s in found if self.rate * s > limit]
+
+    def evidence(self, text: str) -> float:
+        """The best segment's excess, which may be below zero, and those of all other
+        significant ones."""
+        scores, found = self.scan(text)
+        if not found:
+            return -float(BINS)
+        limit = self.chance(len(scores))
+        excess = sorted((self.rate * s - limit for *_, s in found), reverse=True)
+        return excess[0] + sum(x for x in excess[1:] if x > 0)
+
+    def score(self, evidence: float) -> float:
+        z = self.fit[0] + self.fit[1] * damped(evidence)
         return 1 / (1 + exp(-z)) if z > -700 else 0.0
 
 
-def held_out(ident: F.Column) -> F.Column:
+def damped(x: float) -> float:
+    return copysign(log1p(abs(x)), x)
+
+
+def held_out(ident: Column) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, strength: float = 2.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000) -> Model | None:
     """docs: doc_id, text; labels: doc_id, toxic.
 
     Fits on at most `most_rows` labelled rows, those with the smallest hash of their id,
-    and never on held-out ids. Features are counted once per distinct text, under
-    the label that most of its rows have (toxic if they tie), so reruns agree. Their log-odds have a Dirichlet prior in proportion to how frequent the feature is in both
-    classes, with `strength` in total. Without labels of both classes every score is 0.
+    and never on held-out ids. Distinct texts count once, under the label that most of
+    their rows have (toxic if they tie), so reruns agree. Each training text is scored
+    with its own counts left out, and from these scores come lambda, the root of
+    E[exp(lambda s)] = 1 over the words of clean texts, K, so that their best segments
+    have the mean of the extreme-value distribution, and the calibration. Without
+    labels of both classes there is no model.
     """
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.join(F.broadcast(known), "doc_id").filter("text is not null")
-    # copies are counted before the shuffle; a text's own row has its labels of each class
-    rows = rows.groupBy("text").agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("toxic") <= 0).alias("c"))
+    # copies are counted before the shuffle
+    rows = saved(rows.groupBy("text").agg((2 * F.count_if(F.col("toxic") > 0) >= F.count(F.lit(1))).cast("int").alias("toxic")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, n = np.zeros((2, ROWS << BITS), np.int32), [0, 0]
         for b in batches:
-            for text, t, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                toxic = int(t >= c)
+            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n[toxic] += 1
                 found = {f for w in set(WORDS.findall(text.lower())) for f in features(w)}
-                at = [x for f in found for x in buckets(f)]
-                np.add.at(tables[toxic], at, 1)
+                for row, at in enumerate(zip(*map(places, found), strict=True)):
+                    np.add.at(tables[toxic], np.array(at) + (row << BITS), 1)
         at = np.flatnonzero(tables.any(axis=0))
-        yield pa.record_batch([pa.array(np.r_[at, -1]), pa.array(np.r_[tables[1][at], n[1]].astype(np.int64)), pa.array(np.r_[tables[0][at], n[0]].astype(np.int64))], names=["bucket", "toxic", "clean"])
-
-    counts = rows.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = counts.persist()
-    try:
-        size = counts.filter("bucket = -1").first()
-        if not size or not size["t"] or not size["c"]:
-            return Model({}, 1.0, (-1000.0, 0.0))
-        nt, nc = float(size["t"]), float(size["c"])
-        t, c, rate = F.col("t").cast("double"), F.col("c").cast("double"), nt / (nt + nc)
-        prior = F.lit(0.5) + F.lit(strength) * (t + c) / F.lit(nt + nc)
-        odds = F.log((t + prior * rate) / nt) - F.log((c + prior * (1 - rate)) / nc)
-        part = lambda n, p: F.when(n > 0, n * F.log(n / (F.lit(p) * (t + c)))).otherwise(0.0)
-        ratio = 2 * (part(t, rate) + part(c, 1 - rate))
-        sure = counts.filter("bucket >= 0").select("bucket", odds.alias("odds"), ((c + prior * (1 - rate)) / nc).alias("p")).where((odds > 0) & (ratio > SURE))
-        table = sure.toArrow().to_pydict()
-    finally:
-        counts.unpersist()
-    weights = dict(zip(table["bucket"], table["odds"], strict=True))
-    model = Model(weights, _rate(np.array(table["odds"]), np.array(table["p"]) / ROWS), (0.0, 0.0))
-
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros((2, 256), np.int64)
+        yield pa.record_batch([pa.array(np.r_[at, -1]), pa.array(np.r_[tables[1][at], n[1]].astype(np.int64)), pa.array(np.r_[tables[0][at], n[0]].astype(np.int64))], names=["place", "toxic", "clean"])
+
+    counts = rows.select("text", "toxic").mapInArrow(count, "place long, toxic long, clean long").groupBy("place").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    found = counts.filter((F.col("place") < 0) | (F.col("t") + F.col("c") > 0)).toArrow()  # ROWS << BITS rows at most
+    place, t, c = (x.to_numpy() for x in found.columns)
+    size = np.flatnonzero(place < 0)
+    if not len(size) or not t[size[0]] or not c[size[0]]:
+        dropped(rows)
+        return None
+    table = np.zeros((ROWS << BITS, 2), np.int32)
+    table[place[place >= 0], 0], table[place[place >= 0], 1] = t[place >= 0], c[place >= 0]
+    model = Model(table.reshape(ROWS, 1 << BITS, 2), (int(t[size[0]]), int(c[size[0]])))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, histogram = shared.value, np.zeros(2 * BINS + 1, np.int64)
+        names, lists = ["toxic", "n", "best", "found", "words"], pa.list_(pa.int64())
+        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), lists]
         for b in batches:
-            for text, t, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = min(255, int(16 * log1p(model.excess(text))))
-                tally[1, at] += t
-                tally[0, at] += c
-        yield pa.record_batch([pa.array(np.arange(256)), pa.array(tally[1]), pa.array(tally[0])], names=["bin", "t", "c"])
-
-    out = rows.mapInArrow(bins, "bin long, t long, c long").groupBy("bin").agg(F.sum("t"), F.sum("c")).collect()
-    x = np.array([r[0] / 16 for r in out])
-    return Model(weights, model.rate, _logistic(x, np.array([r[1] for r in out], float), np.array([r[2] for r in out], float)))
-
-
-def _rate(odds: np.ndarray, p: np.ndarray) -> float:
-    """Lambda: the positive root of E[exp(lambda * score)] = 1 over words of clean texts,
-    where a word is a feature's with probability p per text of a few hundred words."""
-    p = p / 300
-    rest = max(0.5, 1 - p.sum())
-    low, high = 1e-6, 10.0
+            out: list[tuple] = []
+            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                scores, found = own.scan(text, toxic)
+                if not toxic and scores:
+                    histogram += np.bincount(np.clip(np.rint(np.array(scores) / STEP), -BINS, BINS).astype(int) + BINS, minlength=2 * BINS + 1)
+                each = [s for *_, s in found]
+                out.append((toxic, len(scores), max(each, default=None), each, None))
+            yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+        yield pa.record_batch([pa.array([x], k) for x, k in zip((None, None, None, None, histogram.tolist()), kinds, strict=True)], names=names)
+
+    scanned = saved(rows.select("text", "toxic").mapInArrow(scan, "toxic int, n long, best double, found array<double>, words array<long>"))
+    sums = scanned.filter("words is not null").select(F.posexplode("words").alias("i", "m")).groupBy("i").agg(F.sum("m").alias("m")).collect()
+    histogram = np.zeros(2 * BINS + 1)
+    for r in sums:
+        histogram[r.i] = r.m
+    model.rate = _rate(histogram)
+    texts = scanned.filter("toxic is not null")
+    gap = texts.filter("toxic = 0 and n > 0").agg(F.avg(F.lit(model.rate) * F.col("best") - F.log("n"))).first()[0]
+    model.starts = exp((gap or 0.0) - float(np.euler_gamma))
+    limit = F.log(F.lit(model.starts) * F.greatest("n", F.lit(1)))
+    excess = F.transform("found", lambda s: F.lit(model.rate) * s - limit)
+    top = F.array_max(excess)
+    x = F.when(F.size("found") == 0, F.lit(-float(BINS))).otherwise(top + F.aggregate(excess, F.lit(0.0), lambda a, e: a + F.greatest(e, F.lit(0.0))) - F.greatest(top, F.lit(0.0)))
+    x = F.signum(x) * F.log1p(F.abs(x))
+    bins = texts.groupBy(F.round(x / STEP).alias("bin")).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    model.fit = _logistic(np.array([r["bin"] for r in bins]) * STEP, np.array([r["t"] for r in bins], float), np.array([r["n"] - r["t"] for r in bins], float))
+    model.known.clear()
+    for df in (rows, scanned):
+        dropped(df)
+    return model
+
+
+def _rate(histogram: np.ndarray) -> float:
+    """Lambda: the positive root of E[exp(lambda * score)] = 1 over words of clean texts."""
+    p, s = histogram / max(1.0, histogram.sum()), (np.arange(2 * BINS + 1) - BINS) * STEP
+    if not p[s > 0].sum():
+        return 1.0
+    low, high = 0.05, 20.0
     for _ in range(60):
         mid = (low + high) / 2
-        with np.errstate(over="ignore"):
-            low, high = (mid, high) if (p * np.exp(mid * odds)).sum() + rest * exp(mid * DRIFT) < 1 else (low, mid)
-    return max(low, 0.05)
+        low, high = (mid, high) if (p * np.exp(mid * s)).sum() < 1 else (low, mid)
+    return low
 
 
 def _logistic(x: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple[float, float]:
@@ -195,44 +242,47 @@ def _logistic(x: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_passages.
-
-    Trains on labelled rows that are not held out and scores every whole text: a
-    linear-time scan finds all maximal segments of word log-odds, their excess over
-    the extreme value expected by chance is summed, and a logistic curve maps the sum
-    to a probability.
-
-    Null and empty texts score as texts without any passage. Null ids are never held
-    out. Repeated rows are scored alike. Empty documents give no rows; without labels of
-    both classes all scores are 0. Other columns are ignored.
-    """
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def scored(docs: DataFrame, labels: DataFrame, threshold: float, most_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """docs' columns as `row`, doc_id, score, predicted, n_passages."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = train(slim, labels, most_rows=most_rows)
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if model is None:
+        return own.select("row", "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).alias("n_passages"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            found = [own.passages(t or "") for t in b.column(1).to_pylist()]
-            score = [own.score(sum(x for *_, x in f)) for f in found]
-            yield pa.record_batch([b.column(0), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(list(map(len, found)), pa.int32())], names=["doc_id", "score", "predicted", "n_passages"])
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            score = [own.score(own.evidence(t)) for t in texts]
+            found = [len(own.passages(t)) if s >= 0.5 else 0 for t, s in zip(texts, score, strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(found, pa.int32())], names=["row", "doc_id", "score", "predicted", "n_passages"])
 
-    out = slim.mapInArrow(run, "doc_id long, score double, predicted int, n_passages int")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "n_passages")
+    schema = own.select("row", "doc_id").schema.add("score", "double").add("predicted", "integer").add("n_passages", "integer")
+    return own.mapInArrow(run, schema)
 
 
-def kept(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs, all columns, whose text is not predicted to be toxic."""
-    model = train(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    threshold = float(options.get("threshold", 0.7))
-    names = docs.columns
+def toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, n_passages.
+
+    Trains on labelled rows that are not held out and scores every whole text: a
+    linear-time scan finds all maximal segments of word log-odds, for and against; the
+    best one's excess over the extreme value expected by chance and those of all other
+    significant ones are summed, and a logistic curve maps the sum to a probability.
+    n_passages counts the significant ones of texts with a score of 0.5 or more.
+
+    Null and empty texts have the least evidence. Null ids are never held out. Repeated
+    rows are scored alike; equal scores are possible and mean nothing. Empty documents
+    give no rows; without labels of both classes all scores are 0. Other columns are
+    ignored.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = scored(slim, labels, threshold, most_rows, "doc_id", "text")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "n_passages")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
-        for b in batches:
-            own = shared.value
-            yield b.filter(pa.array([own.score(own.excess(t or "")) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def kept(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text is not predicted to be toxic. Columns may
+    have any names."""
+    return scored(docs, labels, threshold, most_rows, id_col, text_col).filter("predicted = 0").select("row.*")
