@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, saved, shared_dir
+from .common import freed, join_skewed, saved, shared_dir
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -164,7 +164,8 @@ def parsed(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def write_packages(records: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """records: page_id, url, payload, digest, revisits -> path of each package written.
+    """records: page_id, url, payload, digest, revisits -> path of each package written,
+    of PACKAGE bytes each, so that reading them back takes as many tasks.
 
     A file's name holds the task's attempt, so a repeated task never touches files of
     another, and only files of attempts that ended well are listed.
@@ -214,7 +215,8 @@ def read_packages(paths: DataFrame) -> DataFrame:
                             rows = []
                     yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    return paths.repartition(F.col("path")).mapInArrow(run, SCHEMA)
+    # a number given keeps the packages apart: one that is left to Spark may be made one task
+    return paths.repartition(max(1, paths.count()), "path").mapInArrow(run, SCHEMA)
 
 
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -223,9 +225,10 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     html = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    same = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    same = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     revisits = F.when((F.octet_length("payload") >= least) & F.coalesce(F.col("page_id") != F.col("last"), F.col("last").isNotNull()), F.col("last"))
-    return rows.join(same, "digest", "left").withColumn("revisits", revisits)
+    same = saved(same)
+    return join_skewed(rows, same, ["digest"], "n", max(1, rows.count()), how="left").withColumn("revisits", revisits)
 
 
 def round_trip(pages: DataFrame, *, least: int = 1000) -> DataFrame:
