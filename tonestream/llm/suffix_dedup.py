@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, freed, saved
+from .common import dropped, freed, join_skewed, saved
 
 #: Bytes of a hashed gram; a power of two.
 GRAM = 32
@@ -371,16 +371,23 @@ def remove_repeats(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
     found = saved(slim.select("u", "v", "text").mapInArrow(lambda it: find_stretches(it, width), "u long, v long, ar long, h long, c long"))
 
     # per distinct stretch: how often, and one place to read it from
-    kinds = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "ar")).alias("at"))
+    total = max(1, found.count())
+    hot = saved(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 1000 > total).select("h"))  # 1000 keys at most
+    freed(spark)
+    stretch = lambda rows: rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "ar")).alias("at"))
     under = Window.partitionBy("h")
-    kinds = kinds.select("*", F.count(F.lit(1)).over(under).alias("differ"), F.sum("n").over(under).alias("total")).filter("total > 1").drop("total")
-    kinds = saved(kinds)
+    kinds = stretch(found.join(F.broadcast(hot), "h", "left_anti")).select("*", F.count(F.lit(1)).over(under).alias("differ"), F.sum("n").over(under).alias("total"))
+    if not hot.isEmpty():  # their stretches are counted in parts, and never meet in one task
+        some = stretch(found.join(F.broadcast(hot), "h", "left_semi"))
+        kinds = kinds.unionByName(some.join(F.broadcast(some.groupBy("h").agg(F.count(F.lit(1)).alias("differ"), F.sum("n").alias("total"))), "h"))
+    kinds = saved(kinds.filter("total > 1").drop("total"))
     freed(spark)
 
     # the bytes of one of each, under keys with several
     need = kinds.filter("differ > 1").groupBy(F.col("at.u").alias("u"), F.col("at.v").alias("v")).agg(F.collect_list(F.struct(F.col("at.ar").alias("ar"), "h", "c")).alias("need"))
     need = saved(need)
-    data = slim.select("u", "v", "text").join(need, ["u", "v"]).select("text", "need").mapInArrow(lambda it: cut_bytes(it, width), "h long, c long, r long, data binary")
+    # rows that share id and text are read once
+    data = slim.select("u", "v", "text").join(need.select("u", "v"), ["u", "v"], "left_semi").dropDuplicates(["u", "v"]).join(need, ["u", "v"]).select("text", "need").mapInArrow(lambda it: cut_bytes(it, width), "h long, c long, r long, data binary")
     data = saved(data)
     freed(spark)
     crowded = saved(kinds.filter(F.col("differ") > CROWD).select("h").distinct())
@@ -393,12 +400,12 @@ def remove_repeats(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
         twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         again = again.unionByName(windows.join(twice, ["w1", "w2"]).select("h", "c", "i", F.lit(1).cast("long").alias("k")))
     parts = again.groupBy("h", "c").agg(F.collect_list(F.struct("i", "k")).alias("parts"))
-    whole = kinds.filter("n > 1").select("h", "c", F.array(F.struct(F.lit(0).cast("long").alias("i"), F.expr("at.ar & 65535L").alias("k"))).alias("parts"))
+    whole = kinds.filter("n > 1").select("h", "c", F.array(F.struct(F.lit(0).cast("long").alias("i"), F.expr("at.ar & 65535L").alias("k"))).alias("parts"), "n")
     once = kinds.filter("n = 1 and differ > 1").select("h", "c")
-    marked = saved(whole.unionByName(parts.join(once, ["h", "c"], "left_semi")))
+    marked = saved(whole.unionByName(parts.join(once, ["h", "c"], "left_semi").withColumn("n", F.lit(1).cast("long"))))
     freed(spark)
 
-    spans = found.join(marked, ["h", "c"]).select("u", "v", F.explode(F.transform("parts", lambda p: F.struct((F.shiftright("ar", 16) + p["i"]).alias("at"), p["k"].alias("n")))).alias("s"))
+    spans = join_skewed(found, marked, ["h", "c"], "n", total).select("u", "v", F.explode(F.transform("parts", lambda p: F.struct((F.shiftright("ar", 16) + p["i"]).alias("at"), p["k"].alias("n")))).alias("s"))
     spans = saved(spans.groupBy("u", "v").agg(F.collect_list("s").alias("spans")))
     for x in (found, kinds, need, data, marked):
         dropped(x)
