@@ -14,6 +14,8 @@ from .common import dropped, freed, join_skewed, saved
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 200_000
+#: Distinct fingerprints under one key beyond which it is split by further bits.
+CROWD = 20_000
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> list[int]:
@@ -95,7 +97,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     around them; of two neighbours only the one with the bit set has to look, by clearing
     it. Under a key the complete distances are verified and a spanning forest goes on. A
     key's group holds distinct fingerprints that agree in 31 bits, not documents: copies
-    don't enlarge it.
+    don't enlarge it. Keys with over CROWD of them are split by bytes of the other segment.
     """
     if not 0 <= most <= 3:
         raise ValueError("two segments with balls of radius 1 find up to 3 bits")
@@ -124,7 +126,16 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
             rest = [c[end:] for c in cols]
         yield done(*rest)
 
-    return probes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    large = saved(probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"))
+    if large.isEmpty():
+        return by_key(probes)
+    # a link under a key differs in 3 bits at most of the other segment, so one of its
+    # four bytes is equal: a large key is split by each of them, and no link is lost
+    other = f"if(shiftright(key, 32) = 0, {high}, {low})"
+    split = f"transform(sequence(0, 3), j -> xxhash64(key, j, shiftright({other}, 8 * j) & 255L))"
+    parts = probes.join(large, "key", "left_semi").select(F.explode(F.expr(split)).alias("key"), "stored", "fp")
+    return by_key(probes.join(large, "key", "left_anti")).unionByName(by_key(parts))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,11 +153,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(now)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        total = max(1, 2 * now[0])
+        large = join_skewed(both, least, ["a"], "n", total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = saved(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_skewed(large, least, ["a"], "n", total)
         small = small.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = saved(small)
         dropped(edges)
@@ -172,10 +184,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, seed: int = 42, most: in
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     total = max(1, rows.count())
     found = saved(components(links(fps.select("fp"), most)).withColumnRenamed("node", "fp"))
-    least = fps.join(found, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = saved(found.join(least, "root").select("fp", "component_id"))
+    least = fps.join(found, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named = saved(join_skewed(found, least, ["root"], "m", total).select("fp", "component_id"))
     every = fps.join(named, "fp", "left").select("fp", "n", F.when(F.col("component_id").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
     every = saved(every)
+    for x in (fps, found, named):
+        dropped(x)
     freed(docs.sparkSession)
     out = join_skewed(rows, every, ["fp"], "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
