@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,5 +81,33 @@ def mix(docs: DataFrame, *, seed: str = "mix", share: float = 1.5, cap: float =
     both = here.join(c, F.expr(" and ".join(f"{x} <=> c_{x}" for x in CELL)))
     i = F.col("before") + F.col("i")
     crossed = F.floor(F.col("shift") + i * F.col("rate")) - F.floor(F.col("shift") + (i - 1) * F.col("rate"))
-    copies = F.least(crossed, F.lit(int(cap))).cast("long")
+    copies = F.least(crossed, F.lit(math.ceil(cap))).cast("long")  # a whole number crosses no more
     return both.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row_key"] if extra else []))
+
+
+def emitted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix() takes it.
+
+    Rows that tie in id, source and text share the group's copies exactly; which of them
+    gets one more is by their order as JSON. Texts without words take nothing. Columns
+    may have any names. An empty table gives no rows.
+    """
+    ident, source = F.col(id_col).cast("long"), F.col(source_col).cast("string")
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, row_key=digest, **options)
+    taken = taken.filter("size > 0").groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("row_key").alias("t_digest")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = saved(taken.filter("copies > 0"))
+    # the row as one column: no name of a helper can clash with its own
+    own = docs.select(F.struct("*").alias("row"), ident.alias("id"), source.alias("source"), digest.alias("digest"))
+    on = F.col("id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("digest") == F.col("t_digest"))
+    plain = own.join(taken.filter("rows = 1"), on).select("row", "copies")
+    ties = taken.filter("rows > 1")
+    if not ties.isEmpty():
+        # rows alike are counted first: each kind of row gets its share of the copies
+        kinds = own.join(ties, on).groupBy("id", "source", "digest", F.to_json("row").alias("json")).agg(F.min_by("row", F.lit(0)).alias("row"), F.count(F.lit(1)).alias("alike"), F.first("copies").alias("copies"), F.first("rows").alias("rows"))
+        order = Window.partitionBy("id", "source", "digest").orderBy("json")
+        end = F.sum("alike").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        more = F.col("copies") % F.col("rows")
+        extra = F.least(more, end) - F.least(more, end - F.col("alike"))
+        plain = plain.unionByName(kinds.select("row", (F.expr("copies div rows") * F.col("alike") + extra).alias("copies")))
+    return plain.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
