@@ -138,15 +138,64 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).collect() == []
 
 
-def test_index_takes_new_digests_only(spark):
-    index = exact_dedup.DigestIndex(spark, "index_of_test", 4)
-    batch = lambda rows: exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
-    index.append(batch([(1, "a b"), (2, "ab"), (3, "c")]))
-    index.append(batch([(4, "a  b  "), (5, "d")]))
-    assert sorted((r.keep_id, r.group_size) for r in index.read().collect()) == [(1, 2), (3, 1), (5, 1)]
+def test_index_over_three_batches(spark):
+    plain = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+    rng = random.Random(4)
+    index, seen = exact_dedup.DigestIndex(spark, "index_of_test", 4), []
+    for k in range(3):
+        new = [(10 * k + i, rng.choice(["ab", "a b", "a  b", "c", "d e", "de", None, " "])) for i in range(9)] + [(None, "c"), (10 * k, "only " + "abc"[k])]
+        seen += new
+        got = exact_dedup.exact_dedup(spark.createDataFrame(new, "doc_id long, text string"), index).collect()
+        groups = collections.defaultdict(list)
+        for i, t in seen:
+            groups[plain(t)].append((-len(t or ""), i is None, i or 0, i))
+        want = collections.Counter()
+        for i, t in new:
+            best = min(groups[plain(t)])
+            want[i, best[3], len(groups[plain(t)]), hashlib.sha256(plain(t).encode()).hexdigest()] += 1
+        assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+        kept = collections.Counter(r.text_sha256 for r in got if r.kept)
+        assert not kept or max(kept.values()) == 1
+    assert index.rows().filter("fresh").groupBy("text_sha256").count().filter("count > 1").isEmpty()
+    again = exact_dedup.DigestIndex(spark, "index_of_test", 4)  # goes on with what is there
+    assert again.read().agg(F.sum("group_size")).first()[0] == len(seen)
+    plan = exact_dedup.label(exact_dedup.digests(spark.createDataFrame([(1, "ab")] * 3, "doc_id long, text string")), index)
+    assert plan.count() == 3
+    index.drop()
+
+
+def test_index_lies_in_the_shared_folder(spark):
+    index = exact_dedup.DigestIndex(spark, "index_of_folder", 2)
+    assert index.location.startswith(spark.conf.get("spark.checkpoint.dir"))
     index.drop()
 
 
+CLASH = "digest_ string, chars_ int, i_ int, k_ int, k_id_ int, copies_ int, rows_ int, copy_ int, row string, id string, digest string, node int, copies int, alike int, json string"
+
+
+def test_stages_with_clashing_columns_and_awkward_rows(spark, none):
+    import corpus_pipeline
+
+    extra = ["x", 1, 2, 3, 4, 5, 6, 7, "r", "i", "d", 8, 9, 10, "j"]
+    base = [(i, t, "en", [None, "a", "b"][i % 3], None) for i, t in enumerate([None, "", " ", *(f"w{i} " * 3 + " ".join(f"v{i}x{k}" for k in range(40)) for i in range(6))])]
+    base += [base[4], base[4], (None, "a b c d e f", "en", "a", None), (None, "x y z", "en", "a", None), (1, "a b c d e f", "en", "a", None)]
+    docs = spark.createDataFrame([(*r, *extra) for r in base], f"{SCHEMA}, {CLASH}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        if name == "exact_dedup":
+            assert len(rows) == len({"".join((r[1] or "").split()) for r in base})
+        if name == "near_dedup":
+            texts = [r.text for r in rows]
+            assert texts.count("a b c d e f") == 1 and texts.count("x y z") == 1 and texts.count(base[4][1]) == 1
+        if name == "mixing":
+            assert all((r.text or "").split() for r in rows)
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").collect() == []
+    packed = corpus_pipeline.pack(spark, docs, "")
+    assert packed.select(F.sum("length")).first()[0] == sum(len(ids(r[1])) + 1 for r in base)
+
+
 @pytest.mark.parametrize("crowd", [2, 20_000])
 def test_suffix_dedup(spark, docs, none, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
@@ -261,9 +310,23 @@ def test_near_copies_without_single_ids(spark):
     assert sorted(str(r.doc_id) for r in left) == ["5", "None"]
 
 
+def all_segments(scores):
+    """Maximal segments by their definition: recursively, the best one, then both sides."""
+    if not scores or max(scores) <= 0:
+        return []
+    sums = [(sum(scores[a:b]), a - b, a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+    best = max(sums, key=lambda x: (round(x[0], 9), x[1]))
+    _, _, a, b = best
+    return all_segments(scores[:a]) + [(a, b)] + [(x + b, y + b) for x, y in all_segments(scores[b:])]
+
+
 def test_segments_are_maximal():
-    scores = [(0, 4.0), (3, 3.0), (40, 1.0), (41, 2.0)]
-    assert [(a, b) for a, b, _ in toxicity.segments(scores, 60, -0.5)] == [(0, 4), (40, 42)]
+    rng = random.Random(1)
+    for _ in range(150):
+        scores = [rng.choice([-3, -1.25, -0.5, 0.75, 1.5, 2.25]) + rng.random() / 1000 for _ in range(rng.randint(0, 14))]
+        got = toxicity.segments(scores)
+        assert [(a, b) for a, b, _ in got] == all_segments(scores)
+        assert all(abs(s - sum(scores[a:b])) < 1e-9 for a, b, s in got)
 
 
 def test_toxicity(spark, none):
@@ -315,10 +378,62 @@ def test_zip_ranges(zip64):
 
 def test_main_text(spark):
     shared = "Menu one two three four five six seven eight"
-    rows = [(1, "http://h/1", PAGE), (2, "http://h/2", f"<body><div>{shared}</div><div>only here and nowhere else at all</div>"), (3, "http://h/3", f"<div>{shared}</div><p>another text that is its own and unique"), (4, None, None), (5, "http://h/5", "<article>cut off &am")]
-    got = {r.page_id: (r.text, r.n_chars) for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    want = {1: "Head & all One bold two three", 2: "only here and nowhere else at all", 3: "another text that is its own and unique", 4: "", 5: "cut off &am"}
-    assert got == {k: (v, len(v)) for k, v in want.items()}
+    rows = [(1, "http://h/1", PAGE), (2, "http://h/2", f"<body><div>{shared}</div><div>only here and nowhere else at all</div>"), (3, "http://h/3", f"<div>{shared}</div><p>another text that is its own and unique"), (4, None, None), (5, "http://h/5", "<article>cut off &am"), (5, "http://h/5", "<article>cut off &am"), (None, None, "<p>no id"), (6, "http://h/6", "<main><h2>Lead</h2><article>body</article></main><div class=comments>mine</div>")]
+    df = spark.createDataFrame([(*r, "t", 1, "h", 2) for r in rows], "page_id long, url string, html string, text string, n_chars int, host string, stream int")
+    got = collections.Counter((r.page_id, r.text, r.n_chars) for r in html.main_text(df).collect())
+    want = [(1, "Head & all One bold two three"), (2, "only here and nowhere else at all"), (3, "another text that is its own and unique"), (4, ""), (5, "cut off &am"), (5, "cut off &am"), (None, "no id"), (6, "Lead body")]
+    assert got == collections.Counter((i, t, len(t)) for i, t in want)
+    assert html.main_text(df.limit(0)).collect() == []
+
+
+def plain_main_text(rows):
+    """What main_text is to give, string by string: rows of (host, blocks)."""
+    streams = collections.defaultdict(set)
+    for host, blocks_ in rows:
+        streams[host].add(tuple(blocks_))
+    out = []
+    for host, blocks_ in rows:
+        words = lambda bs: [(w, k) for k, t in bs for w in t.split()]
+        pages = collections.Counter()
+        for s in streams[host]:
+            own = [w for w, _ in words(s)]
+            pages.update({tuple(own[i : i + html.LONG]) for i in range(len(own) - html.LONG + 1)})
+        own, n = words(blocks_), len(streams[host])
+        main = "article" if any(k == "article" for _, k in own) else "loose"
+        share, least = html.INSIDE if main == "article" else html.LOOSE
+        gone = np.zeros(len(own), bool)
+        for i in range(len(own) - html.LONG + 1):
+            if pages[tuple(w for w, _ in own[i : i + html.LONG])] >= max(share * n, least):
+                gone[i : i + html.LONG] = True
+        is_main = np.array([k == main for _, k in own], bool)
+        if main == "article" and 2 * (gone & is_main).sum() > is_main.sum():
+            gone[:] = False
+        out.append(" ".join(own[i][0] for i in np.flatnonzero(is_main & ~gone)))
+    return out
+
+
+@pytest.mark.parametrize(("group", "few"), [(html.GROUP, html.FEW), (600, html.FEW), (600, 0)])
+def test_host_arrays_equal_brute_force(spark, monkeypatch, group, few):
+    monkeypatch.setattr(html, "GROUP", group)
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(n))
+    notes = [words(rng.randint(8, 30)) for _ in range(6)]
+    rows, pages = [], []
+    for i in range(120):
+        host = ["", "h1", "h2", "big", "big", "big"][i % 6]
+        blocks_ = [("chrome", words(4))]
+        for _ in range(rng.randint(1, 4)):
+            text_ = words(rng.randint(1, 25)) + (" " + rng.choice(notes[: rng.randint(1, 6)]) if rng.random() < 0.7 else "") + (" " + words(3) if rng.random() < 0.5 else "")
+            blocks_.append(("article" if i % 4 else "loose", text_))
+        if i % 15 == 14:
+            host, blocks_ = rows[-6]
+        rows.append((host, blocks_))
+        tag = {"chrome": "nav", "article": "article", "loose": "div"}
+        pages.append((i, f"http://{host}/x" if host else None, "".join(f"<{tag[k]}>{t}</{tag[k]}>" for k, t in blocks_)))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5), few=few).collect()}
+    want = plain_main_text(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    assert any(len(w) < sum(len(t) for k, t in r[1] if k != "chrome") for w, r in zip(want, rows, strict=True))
 
 
 def test_pipeline(spark):
