@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tonestream.operators import arrow, codecs, filters
+from tonestream.operators import codecs, filters, ima_adpcm, state
 
 
 def stream(spark, values, frame=100):
@@ -52,10 +52,9 @@ def test_normalize_leaves_silence_alone(spark):
 def test_convolutions_agree(spark):
     rng = np.random.default_rng(7)
     x, h = rng.uniform(-1, 1, 50), [0.5, -0.25, 0.125]
-    taps = spark.createDataFrame(list(enumerate(h)), "k long, h double")
     want = np.convolve(x, h)
-    assert np.allclose(got(filters.convolve(stream(spark, x), taps)), want, atol=1e-8)
-    assert np.allclose(got(arrow.convolve_fft(stream(spark, x), h, hop=8)), want, atol=1e-8)
+    assert np.allclose(got(filters.convolve(stream(spark, x), h)), want, atol=1e-8)
+    assert np.allclose(got(filters.convolve_fft(stream(spark, x), h, hop=8)), want, atol=1e-8)
 
 
 def test_recurrences_match_a_loop(spark):
@@ -71,8 +70,8 @@ def test_recurrences_match_a_loop(spark):
 
 def test_adpcm_decodes_what_it_encoded(spark):
     df = spark.createDataFrame([(1, i, int(8000 * np.sin(i / 9))) for i in range(200)], "sid long, idx long, v long")
-    coded = codecs.ima_encode(df)
-    back = codecs.ima_decode(coded.select("sid", "idx", "code")).join(coded.select("idx", F.col("decoded").alias("want")), "idx").join(df, "idx")
+    coded = ima_adpcm.encode(df)
+    back = ima_adpcm.decode(coded.select("sid", "idx", "code")).join(coded.select("idx", F.col("decoded").alias("want")), "idx").join(df, "idx")
     rows = back.orderBy("idx").collect()
     assert all(r.decoded == r.want for r in rows) and 0 <= min(r.code for r in coded.collect()) and max(r.code for r in coded.collect()) <= 15
     assert max(abs(r.decoded - r.v) for r in rows[40:]) < 1500
@@ -85,11 +84,64 @@ def test_levinson_recovers_a_first_order_process():
 def test_reverb_levels():
     """Dry alone is the input; an impulse comes back from the shortest comb, twice
     through an even number of inverting all-passes, at the fixed gain times wet."""
-    from tonestream.operators import arrow
-
     x = np.r_[1.0, np.zeros(3000)]
-    assert (arrow.reverb_block(x, 44100, 0.5, 0.5, 0.0, 1.0) == x).all()
-    y = arrow.reverb_block(x, 44100, 0.5, 0.5, 0.3, 0.0)
+    assert (state.Reverb(44100, 0.5, 0.5, 0.0, 1.0).push(x) == x).all()
+    y = state.Reverb(44100, 0.5, 0.5, 0.3, 0.0).push(x)
     assert not y[:1116].any() and np.isclose(y[1116], 0.015 * 0.3)
-    spread = arrow.reverb_block(x, 44100, 0.5, 0.5, 0.3, 0.0, channel=1)
+    spread = state.Reverb(44100, 0.5, 0.5, 0.3, 0.0, channel=1).push(x)
     assert not spread[: 1116 + 23].any() and spread[1116 + 23]
+
+
+def one_by_one(make, x):
+    """A stage fed with single samples gives what it gives for all at once."""
+    whole, single = make(), make()
+    a = np.concatenate([whole.push(x), whole.flush()])
+    b = np.concatenate([*[single.push(x[k : k + 1]) for k in range(len(x))], single.flush()])
+    assert a.shape == b.shape and np.allclose(a, b, atol=1e-10)
+    return a
+
+
+def test_stages_carry_their_state():
+    x = np.random.default_rng(3).uniform(-1, 1, 700)
+    c = filters.biquad_coefficients("lowshelf", 500, 8000, 0.9, 5)
+    one_by_one(lambda: state.Linear((c["b0"], c["b1"], c["b2"]), (c["a1"], c["a2"])), x)
+    one_by_one(lambda: state.Delay(13, 0.4, 0.5, 0.9), x)
+    one_by_one(lambda: state.Envelope(0.9, 0.99), x)
+    one_by_one(lambda: state.Reverb(2000, 0.6, 0.4, 0.5, 0.5), x)
+    h = np.random.default_rng(4).uniform(-1, 1, 90)
+    y = one_by_one(lambda: state.Convolver(h, 16, 0.75), x)
+    want = np.convolve(x, h) * 0.75
+    want[: len(x)] += x * 0.25
+    assert np.allclose(y, want)
+    for n in (1, 2, 3, 50):
+        y, s = state.Linear((1.0, -1.0), (-0.995,)).push(x[:n]), []
+        for k in range(n):
+            s.append(x[k] - (x[k - 1] if k else 0) + 0.995 * (s[-1] if s else 0))
+        assert np.allclose(y, s)
+
+
+def test_recursion_takes_linear_time():
+    import time
+
+    took = []
+    for n in (1_000_000, 8_000_000):
+        t = time.time()
+        state.Linear((0.2, 0.3, 0.1), (-1.2, 0.5)).push(np.ones(n))
+        took.append(time.time() - t)
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_streams_end_where_another_begins(spark):
+    rows = [(s, c, i, float(i + s + c)) for s in range(3) for c in range(2) for i in range(5 + s)]
+    df = spark.createDataFrame(rows, "sid long, ch int, idx long, v double").selectExpr("struct(sid, ch) as sid", "idx", "v")
+    out = state.carried(df, lambda sid: state.Convolver(np.array([0.0, 1.0 + sid["ch"]]), 4)).selectExpr("sid.sid", "sid.ch", "idx", "v").collect()
+    want = {(s, c, i + 1): (1.0 + c) * v for s, c, i, v in rows}
+    got = {(r.sid, r.ch, r.idx): r.v for r in out}
+    assert len(out) == len(got) and all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and len(got) == len(want) + 6
+
+
+def test_linked_lowpass_gate(spark):
+    loud, quiet = [0.5] * 20, [0.0] * 20
+    both = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(zip(loud, quiet))], "sid long, idx long, l double, r double")
+    out = filters.gate_lowpass(both, -20.0, 40.0, 0.0, 0.0, 3500.0, 200.0, 8000, ("l", "r")).orderBy("idx").collect()
+    assert out[-1].l > 0.45 and all(r.r == 0 for r in out)

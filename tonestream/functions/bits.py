@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,19 +36,51 @@ def crc(data: Column, width: int, poly: int) -> Column:
     return F.when(F.octet_length(data) == 0, F.lit(0)).otherwise(F.aggregate(octets(data), F.lit(0), step))
 
 
+def crc_bytes(raw: bytes, width: int, table: np.ndarray, shift: list[np.ndarray]) -> int:
+    """The remainder of a payload of any length: its bytes' own remainders are folded in
+    halves, where shift[k] tells what 2**k zero bytes make of each byte of a remainder."""
+    x = table[np.frombuffer(raw, np.uint8)]
+    for k in range(len(shift)):
+        if len(x) == 1:
+            return int(x[0])
+        if len(x) % 2:  # a remainder of nothing in front
+            x = np.r_[np.zeros(1, x.dtype), x]
+        left, right = x[::2], x[1::2]
+        moved = right.copy()
+        for i in range(width // 8):
+            moved ^= shift[k][i][left >> (8 * i) & 255]
+        x = moved
+    raise ValueError("the payload is too long")
+
+
+def crc_shifts(width: int, poly: int) -> list[np.ndarray]:
+    """For each power of two up to 2**40 the remainders that so many zero bytes behind it
+    make of each single byte of a remainder."""
+    table = np.array(crc_table(width, poly), np.int64)
+    mask = (1 << width) - 1
+
+    def through(x: np.ndarray, step: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        for i in range(width // 8):
+            out ^= step[i][x >> (8 * i) & 255]
+        return out
+
+    single = np.stack([np.arange(256) << (8 * i) for i in range(width // 8)])
+    one = (single << 8 & mask) ^ table[single >> (width - 8)]
+    out = [one]
+    for _ in range(40):
+        out.append(through(out[-1], out[-1]))
+    return out
+
+
 def crc_of(width: int, poly: int):  # noqa: ANN201
-    """The same for long payloads: an Arrow function over whole binary values."""
-    table, top, mask = crc_table(width, poly), width - 8, (1 << width) - 1
+    """The same for long payloads: an Arrow function over whole binary values, folding
+    each in halves."""
+    table, shifts = np.array(crc_table(width, poly), np.int64), crc_shifts(width, poly)
 
     @F.pandas_udf("int")
     def run(data: pd.Series) -> pd.Series:
-        out = []
-        for raw in data:
-            x = 0
-            for b in raw or b"":
-                x = (x << 8 & mask) ^ table[x >> top ^ b]
-            out.append(x)
-        return pd.Series(out, dtype="int32")
+        return pd.Series([crc_bytes(raw, width, table, shifts) if raw else 0 for raw in data], dtype="int32")
 
     return run
 

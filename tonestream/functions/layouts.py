@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,14 +81,19 @@ def width(fmt: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def fnv64(data: pd.Series) -> pd.Series:
-    """FNV-1a of bytes with the top bit set, as 16 hex digits; null for null."""
-
-    def run(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        h = 0xCBF29CE484222325
-        for b in raw:
-            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return f"{h | 1 << 63:016x}"
-
-    return data.map(run, na_action=None).astype(object)
+    """FNV-1a of bytes with the top bit set, as 16 hex digits; null for null. The bytes of
+    one payload depend on each other, so payloads are hashed side by side."""
+    raws = [raw or b"" for raw in data]
+    sizes = np.array([len(r) for r in raws], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    h = np.full(len(raws), 0xCBF29CE484222325, np.uint64)
+    starts = np.cumsum(np.r_[0, sizes[:-1]]) if len(sizes) else sizes
+    flat = np.frombuffer(b"".join(raws), np.uint8)
+    live = len(raws)
+    for i in range(int(sizes.max(initial=0))):
+        while live and sizes[order[live - 1]] <= i:
+            live -= 1
+        at = order[:live]
+        with np.errstate(over="ignore"):
+            h[at] = (h[at] ^ flat[starts[at] + i]) * np.uint64(0x100000001B3)
+    return pd.Series([None if raw is None else f"{int(x) | 1 << 63:016x}" for raw, x in zip(data, h, strict=True)], dtype=object)

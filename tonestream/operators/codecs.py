@@ -1,4 +1,4 @@
-"""Codec analysis: prediction residuals, their coding costs, ADPCM."""
+"""Codec analysis: prediction residuals and their coding costs."""
 
 from __future__ import annotations
 
@@ -102,49 +102,6 @@ def levinson(lags: list[float], order: int) -> list[float]:
     return a
 
 
-#: Index steps of IMA ADPCM.
-INDEX_STEP = [-1, -1, -1, -1, 2, 4, 6, 8]
-
-
-#: Step sizes of IMA ADPCM.
-STEPS = [
-    7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307,
-    337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132,
-    7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
-]
-
-
-def ima_encode(df: DataFrame) -> DataFrame:
-    """sid, idx, v (16-bit integers) -> sid, idx, code, decoded: 4-bit codes and what a
-    decoder makes of them, folded along each stream in the JVM."""
-    steps, moves = f"array({', '.join(map(str, STEPS))})", f"array({', '.join(map(str, INDEX_STEP))})"
-    # the quantizer's three bits by comparison with the step, its half and its quarter
-    code = "transform(array(struct({s} as step, abs(e.q - a.s.p) as d)), t -> case when t.d >= t.step then 4 else 0 end + case when t.d - case when t.d >= t.step then t.step else 0 end >= t.step div 2 then 2 else 0 end + case when (t.d - case when t.d >= t.step then t.step else 0 end) - case when t.d - case when t.d >= t.step then t.step else 0 end >= t.step div 2 then t.step div 2 else 0 end >= t.step div 4 then 1 else 0 end)[0]"
-    step = f"{steps}[a.s.i]"
-    move = f"struct(a.s.p + case when e.q < a.s.p then -1 else 1 end * (m.step div 8 + case when m.c & 4 <> 0 then m.step else 0 end + case when m.c & 2 <> 0 then m.step div 2 else 0 end + case when m.c & 1 <> 0 then m.step div 4 else 0 end) as raw, m.c as c)"
-    new = f"transform(transform(array(struct({step} as step, {code.format(s=step)} as c)), m -> {move}), r -> struct(cast(greatest(-32768, least(32767, r.raw)) as int) as p, greatest(0, least(88, a.s.i + {moves}[r.c])) as i, r.c + case when e.q < a.s.p then 8 else 0 end as c))[0]"
-    fold = F.expr(
-        "aggregate(samples, struct(struct(0 as p, 0 as i, 0 as c) as s, cast(array() as array<struct<idx:bigint,code:int,decoded:int>>) as o),"
-        f" (a, e) -> transform(array({new}), n -> struct(n as s, array_append(a.o, struct(e.idx as idx, n.c as code, n.p as decoded)) as o))[0], a -> a.o)"
-    )
-    rows = df.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("v").cast("int").alias("q")))).alias("samples"))
-    return rows.select("sid", F.explode(fold).alias("r")).select("sid", "r.idx", "r.code", "r.decoded")
-
-
-def ima_decode(df: DataFrame) -> DataFrame:
-    """sid, idx, code -> sid, idx, decoded."""
-    steps, moves = f"array({', '.join(map(str, STEPS))})", f"array({', '.join(map(str, INDEX_STEP))})"
-    step = f"{steps}[a.s.i]"
-    delta = f"({step} div 8 + case when e.c & 4 <> 0 then {step} else 0 end + case when e.c & 2 <> 0 then {step} div 2 else 0 end + case when e.c & 1 <> 0 then {step} div 4 else 0 end)"
-    new = f"struct(cast(greatest(-32768, least(32767, a.s.p + case when e.c >= 8 then -1 else 1 end * {delta})) as int) as p, greatest(0, least(88, a.s.i + {moves}[e.c & 7])) as i)"
-    fold = F.expr(
-        "aggregate(codes, struct(struct(0 as p, 0 as i) as s, cast(array() as array<struct<idx:bigint,decoded:int>>) as o),"
-        f" (a, e) -> transform(array({new}), n -> struct(n as s, array_append(a.o, struct(e.idx as idx, n.p as decoded)) as o))[0], a -> a.o)"
-    )
-    rows = df.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("code").cast("int").alias("c")))).alias("codes"))
-    return rows.select("sid", F.explode(fold).alias("r")).select("sid", "r.idx", "r.decoded")
-
-
 def rechunk(df: DataFrame, size: int) -> DataFrame:
     return df.withColumns({"block": F.floor(F.col("idx") / size), "place": F.col("idx") % size})
 

@@ -6,11 +6,12 @@ collects to the driver. Filters without state are projections and never shuffle.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.levels import amp
-
+from . import state
 
 
 def stream() -> WindowSpec:
@@ -35,11 +36,13 @@ def normalize(df: DataFrame, target_db: float = -1.0, amplify: bool = True) -> D
 
 
 def fade(df: DataFrame, fade_in: int, fade_out: int) -> DataFrame:
-    """Linear gains over the first and last samples; the lesser counts."""
-    p, total = F.col("idx"), F.count(F.lit(1)).over(stream())
+    """Linear gains over the first and last samples; the lesser counts. Lengths are
+    aggregated map-side and joined back, so that no task holds a whole stream."""
+    df = df.join(df.groupBy("sid").agg((F.max("idx") + 1).alias("total_")), "sid")
+    p, total = F.col("idx"), F.col("total_")
     first = F.when(p < fade_in, p / F.lit(float(max(fade_in, 1)))).otherwise(F.lit(1.0))
     last = F.when(total - p <= fade_out, (total - p) / F.lit(float(max(fade_out, 1)))).otherwise(F.lit(1.0))
-    return df.withColumn("v", F.col("v") * F.least(first, last))
+    return df.withColumn("v", F.col("v") * F.least(first, last)).drop("total_")
 
 
 def trim(df: DataFrame, threshold_db: float = -60.0, side: str = "both") -> DataFrame:
@@ -134,39 +137,20 @@ def retime(df: DataFrame, factor: float, rate: int, relabel: bool = False) -> Da
 
 
 def delay(df: DataFrame, steps: int, feedback: float, wet: float, dry: float) -> DataFrame:
-    """y = dry * x + wet * buf[n - D], buf[n] = x + feedback * buf[n - D]: one first-order
-    recurrence per residue of idx, folded over that residue's samples."""
-    residues = df.withColumn("residue", F.col("idx") % steps)
+    """y = dry * x + wet * buf[n - D], buf[n] = x + feedback * buf[n - D]."""
     if feedback == 0:
         return df.withColumn("v", F.col("v") * dry + F.coalesce(F.lag("v", steps).over(ordered()), F.lit(0.0)) * wet)
-    rows = residues.groupBy("sid", "residue").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("s"))
-    zero = F.struct(F.lit(0.0).alias("buf"), F.array().cast("array<struct<idx:bigint,v:double>>").alias("out"))
-    fold = F.aggregate("s", zero, lambda a, x: F.struct((x["v"] + F.lit(feedback) * a["buf"]).alias("buf"), F.array_append(a["out"], F.struct(x["idx"].alias("idx"), (x["v"] * dry + a["buf"] * wet).alias("v"))).alias("out")))
-    return rows.select("sid", F.explode(fold["out"]).alias("o")).select("sid", "o.idx", "o.v")
+    return state.carried(df, lambda _: state.Delay(steps, feedback, wet, dry))
 
 
 def remove_dc(df: DataFrame, pole: float = 0.995) -> DataFrame:
     """y[n] = x[n] - x[n-1] + pole * y[n-1], from rest."""
-    return recurrence(df, "x double, y double", "struct(0D as x, 0D as y)", f"struct(e.v as x, e.v - a.s.x + {pole}D * a.s.y as y)", "y")
+    return state.carried(df, lambda _: state.Linear((1.0, -1.0), (-pole,)))
 
 
 def biquad(df: DataFrame, c: dict[str, float]) -> DataFrame:
     """Direct form I with coefficients b0 b1 b2 a1 a2."""
-    step = f"struct(e.v as x1, a.s.x1 as x2, {c['b0']!r}D * e.v + {c['b1']!r}D * a.s.x1 + {c['b2']!r}D * a.s.x2 - {c['a1']!r}D * a.s.y1 - {c['a2']!r}D * a.s.y2 as y1, a.s.y1 as y2)"
-    return recurrence(df, "x1 double, x2 double, y1 double, y2 double", "struct(0D as x1, 0D as x2, 0D as y1, 0D as y2)", step, "y1")
-
-
-def recurrence(df: DataFrame, state: str, zero: str, step: str, out: str) -> DataFrame:
-    """Folds a stream in order inside the JVM. `step` gives the next state from a.s (the
-    state) and e (idx, v); `out` names the state's field that is the output. The fold
-    holds one stream at a time; streaming.carry does the same in chunks."""
-    rows = df.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("samples"))
-    fields = ", ".join(f"{n}:{t}" for n, t in (x.split() for x in state.split(", ")))
-    fold = F.expr(
-        f"aggregate(samples, struct(cast({zero} as struct<{fields}>) as s, cast(array() as array<struct<idx:bigint,v:double>>) as o),"
-        f" (a, e) -> struct({step} as s, array_append(a.o, struct(e.idx as idx, ({step}).{out} as v)) as o), a -> a.o)"
-    )
-    return rows.select("sid", F.explode(fold).alias("r")).select("sid", "r.idx", "r.v")
+    return state.carried(df, lambda _: state.Linear((c["b0"], c["b1"], c["b2"]), (c["a1"], c["a2"])))
 
 
 def compressor(df: DataFrame, threshold: float = -18.0, ratio: float = 4.0, knee: float = 6.0, attack: float = 0.0, release: float = 0.0, makeup: float = 0.0) -> DataFrame:
@@ -175,25 +159,51 @@ def compressor(df: DataFrame, threshold: float = -18.0, ratio: float = 4.0, knee
 
     curve = df.withColumn("g", soft_knee(decibel(F.abs("v")), threshold, ratio, knee))
     if attack or release:
-        g = recurrence(curve.select("sid", "idx", F.col("g").alias("v")), "env double", "struct(0D as env)", f"struct(e.v + (case when e.v < a.s.env then {attack!r}D else {release!r}D end) * (a.s.env - e.v) as env)", "env")
-        curve = curve.drop("g").join(g.withColumnRenamed("v", "g"), ["sid", "idx"])
+        curve = state.carried(curve, lambda _: Pair(state.Envelope(attack, release)), ("v", "g"))
     return curve.withColumn("v", F.col("v") * F.pow(F.lit(10.0), (F.col("g") + makeup) / 20)).drop("g")
 
 
-def gate_lowpass(df: DataFrame, threshold: float, span: float, attack: float, release: float, opened: float, closed: float, rate: float) -> DataFrame:
-    """A linked envelope opens a one-pole low pass between two cut-offs and its level."""
-    level = "(case when abs(e.v) > 0 then greatest(-120D, 20D * log10(abs(e.v))) else -120D end)"
-    goal = f"least(1D, greatest(0D, ({level} - ({threshold - span}D)) / {span}D))"
-    env = f"({goal} + (case when {goal} > a.s.env then {attack!r}D else {release!r}D end) * (a.s.env - {goal}))"
-    coeff = f"(1D - exp(-2D * pi() * ({closed}D * pow({opened / closed!r}D, {env})) / {rate}D))"
-    low = f"(a.s.low + {coeff} * (e.v - a.s.low))"
-    return recurrence(df, "env double, low double, y double", "struct(0D as env, 0D as low, 0D as y)", f"struct({env} as env, {low} as low, {low} * {env} as y)", "y")
+class Pair:
+    """A sample as it is, and a curve beside it through a stage."""
+
+    def __init__(self, stage: state.Stage) -> None:
+        self.stage = stage
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x[:, 0], self.stage.push(x[:, 1])])
+
+    def flush(self) -> np.ndarray:
+        return state.NONE
+
+
+def gate_lowpass(df: DataFrame, threshold: float, span: float, attack: float, release: float, opened: float, closed: float, rate: float, channels: tuple[str, ...] = ("v",)) -> DataFrame:
+    """An envelope linked over the channel columns opens a one-pole low pass between two
+    cut-offs and its level."""
+    return state.carried(df, lambda _: state.LowpassGate(len(channels), threshold, span, attack, release, opened, closed, rate), channels)
+
+
+#: Taps that a join with the impulse response takes; longer ones go by spectra.
+FEW_TAPS = 4096
+
+
+def convolve(df: DataFrame, taps: list[float]) -> DataFrame:
+    """y[n] = sum of h[k] * x[n - k]: each sample meets the taps, a literal of at most
+    FEW_TAPS numbers, and the sums are formed map-side first; longer responses go by
+    overlap-save."""
+    if len(taps) > FEW_TAPS:
+        return state.carried(df, lambda _: state.Convolver(np.asarray(taps), 1 << 12))
+    each = df.select("sid", "idx", "v", F.posexplode(F.lit([float(h) for h in taps])).alias("k", "h"))
+    return each.groupBy("sid", (F.col("idx") + F.col("k")).alias("idx")).agg(F.sum(F.col("v") * F.col("h")).alias("v"))
 
 
-def convolve(df: DataFrame, taps: DataFrame) -> DataFrame:
-    """y[n] = sum of h[k] * x[n - k], by a join with the impulse response (k, h), whose
-    length is a parameter of the filter and bounds the broadcast side."""
-    return df.join(F.broadcast(taps)).groupBy("sid", (F.col("idx") + F.col("k")).alias("idx")).agg(F.sum(F.col("v") * F.col("h")).alias("v"))
+def convolve_fft(df: DataFrame, taps: list[float], hop: int = 64) -> DataFrame:
+    """The same by partitioned overlap-save."""
+    return state.carried(df, lambda _: state.Convolver(np.asarray(taps), hop))
+
+
+def reverb(df: DataFrame, rate: int, room: float = 0.5, damp: float = 0.5, wet: float = 0.3, dry: float = 1.0, channel: str | None = None) -> DataFrame:
+    """`channel` names the field of a struct sid that widens the stereo image."""
+    return state.carried(df, lambda sid: state.Reverb(rate, room, damp, wet, dry, sid[channel] if channel else 0))
 
 
 def biquad_coefficients(kind: str, f: float, rate: float, q: float, db: float = 0.0) -> dict[str, float]:
@@ -213,15 +223,36 @@ def biquad_coefficients(kind: str, f: float, rate: float, q: float, db: float =
     return {"b0": b[0] / d[0], "b1": b[1] / d[0], "b2": b[2] / d[0], "a1": d[1] / d[0], "a2": d[2] / d[0]}
 
 
-def equalizer(df: DataFrame, bands: list[tuple[float, float]], rate: float) -> DataFrame:
-    """A cascade of peaking sections at (frequency, dB), in order of frequency; each
+def band_sections(bands: list[tuple[float, float]], rate: float) -> list[tuple[float, float, float]]:
+    """Frequency, Q and dB of each band that changes anything, in order of frequency; a
     band's Q follows from the distance to its neighbours."""
     from math import sqrt
 
-    bands = sorted((min(f, 0.999 * rate / 2), g) for f, g in bands)
+    bands, out = sorted((min(f, 0.999 * rate / 2), g) for f, g in bands), []
     for i, (f, g) in enumerate(bands):
         low = sqrt(f * bands[i - 1][0]) if i else (f * f / sqrt(f * bands[1][0]) if len(bands) > 1 else f / sqrt(2))
         high = sqrt(f * bands[i + 1][0]) if i + 1 < len(bands) else f * f / low
         if g:
-            df = biquad(df, biquad_coefficients("peaking", f, rate, f / max(high - low, 1e-9), g))
-    return df
+            out.append((f, f / max(high - low, 1e-9), g))
+    return out
+
+
+class Cascade:
+    """Stages one behind the other, in one pass over the samples."""
+
+    def __init__(self, stages: list[state.Stage]) -> None:
+        self.stages = stages
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        for s in self.stages:
+            x = s.push(x)
+        return x
+
+    def flush(self) -> np.ndarray:
+        return state.NONE
+
+
+def equalizer(df: DataFrame, bands: list[tuple[float, float]], rate: float) -> DataFrame:
+    """A cascade of peaking sections at (frequency, dB)."""
+    c = [biquad_coefficients("peaking", f, rate, q, g) for f, q, g in band_sections(bands, rate)]
+    return state.carried(df, lambda _: Cascade([state.Linear((x["b0"], x["b1"], x["b2"]), (x["a1"], x["a2"])) for x in c])) if c else df

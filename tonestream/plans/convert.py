@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import companding, levels, text
-from ..operators import arrow, filters
+from ..operators import filters, state
 from ..sources import flac, flac_meta, tags, wav
 from . import negotiate
 
@@ -190,10 +190,17 @@ def compressed(df: DataFrame, p: Profile, o: dict[str, Any]) -> DataFrame:
 
 
 def gated(df: DataFrame, p: Profile, o: dict[str, Any]) -> DataFrame:
-    if o["mode"] != "hard":
-        raise ConversionError("filter", "unsupported-mode", f"gate mode {o['mode']!r} has no file form yet")
-    loud = F.max(F.abs("v")).over(Window.partitionBy("sid", "idx")) >= F.lit(levels.amp(o["threshold-dbfs"]))
-    return df.withColumn("l_", loud).withColumn("v", F.when(F.col("l_"), F.col("v")).otherwise(F.lit(0.0))).drop("l_")
+    """All channels open and close together. The low pass opens between two cut-offs."""
+    names = [f"c{i}" for i in range(p.channels)]
+    w = wide(df, p.channels)
+    if o["mode"] == "hard":
+        made = filters.gate(w, o["threshold-dbfs"], names)
+    elif o["mode"] == "lowpass":
+        c = levels.time_constant
+        made = filters.gate_lowpass(w, o["threshold-dbfs"], o["range-db"], c(o["attack-ms"], p.rate), c(o["release-ms"], p.rate), min(o["open-hz"], 0.45 * p.rate), o["closed-hz"], p.rate, tuple(names))
+    else:
+        raise ConversionError("config", "bad-value", f"gate.mode: {o['mode']!r}")
+    return made.select("sid", "idx", F.posexplode(F.array(*names)).alias("ch", "v")).select("sid", "ch", "idx", "v")
 
 
 def trimmed(df: DataFrame, p: Profile, o: dict[str, Any]) -> DataFrame:
@@ -238,18 +245,6 @@ def converted(df: DataFrame, p: Profile, o: dict[str, Any]) -> tuple[DataFrame,
     return (df, p) if bits == p.bits else (df.withColumn("v", levels.dequantize(levels.quantize(F.col("v"), bits), bits)), replace(p, bits=bits))
 
 
-def whole(df: DataFrame, f: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
-    """A filter over all samples of a channel in one task: f takes channel and samples."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("idx")
-        sid, ch = t["sid"][0].as_py(), t["ch"][0].as_py()
-        y = np.asarray(f(ch, t["v"].to_numpy()), np.float64)
-        return pa.table({"sid": pa.array(np.full(len(y), sid, np.int64)), "ch": pa.array(np.full(len(y), ch, np.int32)), "idx": pa.array(np.arange(len(y))), "v": pa.array(y)})
-
-    return df.select("sid", F.col("ch").cast("int").alias("ch"), "idx", "v").groupBy("sid", "ch").applyInArrow(run, "sid long, ch int, idx long, v double")
-
-
 def fitted(source: tuple[DataFrame, Profile], want: Profile) -> DataFrame:
     """A stream brought to the rate and the channels of another."""
     df, p = resampled(*source, {"sample-rate": want.rate})
@@ -278,13 +273,8 @@ def convolved(df: DataFrame, p: Profile, o: dict[str, Any], ports: Ports) -> tup
     if o["normalize"]:
         taps /= np.maximum(np.abs(taps).sum(1, keepdims=True), 1.0)
 
-    def run(ch: int, x: np.ndarray) -> np.ndarray:
-        h = taps[ch if own.channels > 1 else 0]
-        y = arrow.overlap_save(x, h, size)[: len(x) + len(h) - 1] * mix
-        y[: len(x)] += x * (1 - mix)
-        return y
-
-    return whole(df, run), p
+    stage = lambda sid: state.Convolver(taps[sid["ch"] if own.channels > 1 else 0], size, mix)
+    return each(df, lambda s: state.carried(s, stage)), p
 
 
 def mixed(df: DataFrame, p: Profile, o: dict[str, Any], ports: Ports) -> tuple[DataFrame, Profile]:
@@ -316,10 +306,10 @@ FILTERS: dict[str, tuple[dict[str, Any], Callable[..., tuple[DataFrame, Profile]
     "fade": ({"fade-in": "0s", "fade-out": "0s"}, same(lambda df, p, o: each(df, lambda s: filters.fade(s, round(seconds(o["fade-in"]) * p.rate), round(seconds(o["fade-out"]) * p.rate))))),
     "remove-dc-offset": ({"pole": 0.995}, same(lambda df, p, o: each(df, lambda s: filters.remove_dc(s, o["pole"])))),
     "trim": ({"threshold-dbfs": -60.0, "mode": "both"}, same(trimmed)),
-    "gate": ({"threshold-dbfs": -60.0, "mode": "hard"}, same(gated)),
+    "gate": ({"threshold-dbfs": -60.0, "mode": "hard", "range-db": 40.0, "attack-ms": 5.0, "release-ms": 50.0, "open-hz": 20000.0, "closed-hz": 200.0}, same(gated)),
     "compressor": ({"threshold-dbfs": -18.0, "ratio": 4.0, "attack-ms": 10.0, "release-ms": 100.0, "knee-db": 6.0, "makeup-gain-db": 0.0}, same(compressed)),
     "delay": ({"delay-ms": 300.0, "feedback": 0.3, "wet-level": 0.5, "dry-level": 1.0}, same(lambda df, p, o: each(df, lambda s: filters.delay(s, max(1, round(o["delay-ms"] / 1000 * p.rate)), o["feedback"], o["wet-level"], o["dry-level"])))),
-    "reverb": ({"room-size": 0.5, "damping": 0.5, "wet-level": 0.3, "dry-level": 1.0}, same(lambda df, p, o: whole(df, lambda ch, x: arrow.reverb_block(x, p.rate, o["room-size"], o["damping"], o["wet-level"], o["dry-level"], ch)))),
+    "reverb": ({"room-size": 0.5, "damping": 0.5, "wet-level": 0.3, "dry-level": 1.0}, same(lambda df, p, o: each(df, lambda s: filters.reverb(s, p.rate, o["room-size"], o["damping"], o["wet-level"], o["dry-level"], "ch")))),
     "equalizer": ({"mode": "single", "type": "peaking", "frequency-hz": 1000.0, "gain-db": 0.0, "q": 0.7071067811865476, "bands": 10, "low-hz": 20.0, "high-hz": 20000.0, "manual-bands": "", "gains": "0,0,0,0,0,0,0,0,0,0"}, same(equalized)),
 }
 

@@ -231,7 +231,10 @@ def format_algebra(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", fmt.alias("f")).select("event_id", layouts.packed(f).alias("packed"), layouts.planar(f).alias("planar"), layouts.is_planar(f).alias("is_planar"), layouts.is_float(f).alias("is_float"), layouts.width(f).alias("bytes"))
 
 
-query("fnv64")(lambda s, d: table(s, d, "pages").select("page_id", layouts.fnv64(F.col("url").cast("binary")).alias("fnv")))
+query(
+    "fnv64",
+    "WITH RECURSIVE d AS MATERIALIZED (SELECT page_id, hex(encode(url)) AS x, octet_length(encode(url)) AS n FROM pages), r AS (SELECT page_id, CAST(0 AS BIGINT) AS i, CAST(14695981039346656037 AS HUGEINT) AS h FROM d UNION ALL SELECT d.page_id, r.i + 1, CAST((CAST(xor(CAST(h AS UBIGINT), CAST(('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2)) AS UBIGINT)) AS HUGEINT) * 1099511628211) % CAST(18446744073709551616 AS HUGEINT) AS HUGEINT) FROM r JOIN d USING (page_id) WHERE r.i < d.n) SELECT page_id, lower(printf('%016x', CAST(h AS UBIGINT) | CAST(9223372036854775808 AS UBIGINT))) AS fnv FROM r JOIN d USING (page_id) WHERE r.i = d.n",
+)(lambda s, d: table(s, d, "pages").select("page_id", layouts.fnv64(F.col("url").cast("binary")).alias("fnv")))
 
 
 @query("default_stream", "SELECT o_custkey, CAST(arg_max(o_orderkey, (CASE WHEN o_orderpriority = '1-URGENT' THEN 281474976710656 ELSE 0 END + (1 + o_orderkey % 8) * 8000, -o_orderkey)) AS BIGINT) AS stream FROM orders GROUP BY o_custkey")

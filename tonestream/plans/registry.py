@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, companding, levels
 from ..model import multichannel, planes, samples, table
-from ..operators import arrow, codecs, filters
+from ..operators import codecs, filters, ima_adpcm, state
 
 SHIFT = 1.3e-8
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,7 +159,31 @@ def _biquad(name: str, kind: str, f: float, q: float, db: float) -> None:
 
 for _k, _db in (("lowpass", 0.0), ("highpass", 0.0), ("peaking", 6.0), ("lowshelf", -4.0), ("highshelf", 4.0)):
     _biquad(f"biquad_{_k}", _k, 1000.0, 0.707, _db)
-query("equalizer_multiband")(lambda s, d: out(filters.equalizer(samples(s, d), [(250.0, 3.0), (1000.0, -2.0), (3000.0, 4.0)], 8000)))
+_EQ = [(250.0, 3.0), (1000.0, -2.0), (3000.0, 4.0)]
+
+
+def cascade_sql(bands: list[tuple[float, float]], rate: float) -> str:
+    """Sections one behind the other, a recursive step of each for a sample."""
+    c = [filters.biquad_coefficients("peaking", f, rate, q, g) for f, q, g in filters.band_sections(bands, rate)]
+
+    def sections(x: str, r: str) -> tuple[list[str], list[str]]:
+        states, last = [], x
+        ys = []
+        for k, k_ in enumerate(c):
+            y = f"({k_['b0']!r}::DOUBLE * {last} + {k_['b1']!r}::DOUBLE * {r}s[{4 * k + 1}] + {k_['b2']!r}::DOUBLE * {r}s[{4 * k + 2}] - {k_['a1']!r}::DOUBLE * {r}s[{4 * k + 3}] - {k_['a2']!r}::DOUBLE * {r}s[{4 * k + 4}])"
+            states += [last, f"{r}s[{4 * k + 1}]", y, f"{r}s[{4 * k + 3}]"]
+            ys.append(y)
+            last = y
+        return states, ys
+
+    n = len(c)
+    step_state, step_y = sections("z.v", "r.")
+    zero = f"(SELECT [0.0::DOUBLE FOR i IN range({4 * n})] AS s)"
+    seed_state, seed_y = sections("z.v", "q.")
+    return REC.format(s=S, seed=f"SELECT z.sid, z.idx, [{', '.join(seed_state)}] AS s, {seed_y[-1]} AS y FROM z, {zero} q WHERE z.idx = 0", step=f"SELECT z.sid, z.idx, [{', '.join(step_state)}], {step_y[-1]} FROM r JOIN z ON z.sid = r.sid AND z.idx = r.idx + 1")
+
+
+query("equalizer_multiband", cascade_sql(_EQ, 8000))(lambda s, d: out(filters.equalizer(samples(s, d), _EQ, 8000)))
 _LV = "CASE WHEN v = 0 THEN -120 ELSE greatest(-120, 20 * log10(abs(v))) END"
 _KN = "CASE WHEN l + 18 <= -3 THEN 0 WHEN l + 18 < 3 THEN -0.75 * (l + 21) * (l + 21) / 12 ELSE -0.75 * (l + 18) END"
 query("compressor_instant", f"WITH {S}, l AS (SELECT *, {_LV} AS l FROM s) SELECT sid, idx, round(v * power(10.0::DOUBLE, ({_KN}) / 20), 6) + 0 AS v FROM l")(lambda s, d: out(filters.compressor(samples(s, d))))
@@ -167,14 +191,48 @@ _AT, _RE = repr(exp(-1 / 10)), repr(exp(-1 / 100))
 query("compressor_envelope", REC.format(s=f"{S}, l AS (SELECT *, {_LV} AS l FROM s), c AS (SELECT *, {_KN} AS c FROM l)", seed=f"SELECT sid, idx, c + (CASE WHEN c < 0 THEN {_AT}::DOUBLE ELSE {_RE}::DOUBLE END) * (0 - c) AS env, v * power(10.0::DOUBLE, (c + (CASE WHEN c < 0 THEN {_AT}::DOUBLE ELSE {_RE}::DOUBLE END) * (0 - c)) / 20) AS y FROM z WHERE idx = 0", step=f"SELECT z.sid, z.idx, z.c + (CASE WHEN z.c < r.env THEN {_AT}::DOUBLE ELSE {_RE}::DOUBLE END) * (r.env - z.c), z.v * power(10.0::DOUBLE, (z.c + (CASE WHEN z.c < r.env THEN {_AT}::DOUBLE ELSE {_RE}::DOUBLE END) * (r.env - z.c)) / 20) FROM r JOIN z ON z.sid = r.sid AND z.idx = r.idx + 1").replace("SELECT * FROM s)", "SELECT * FROM c)"))(
     lambda s, d: out(filters.compressor(samples(s, d), attack=exp(-1 / 10), release=exp(-1 / 100)))
 )
-query("gate_lowpass")(lambda s, d: out(filters.gate_lowpass(samples(s, d), -20.0, 40.0, levels.time_constant(5, 8000), levels.time_constant(50, 8000), 3500.0, 200.0, 8000)))
+_GA, _GR = levels.time_constant(5, 8000), levels.time_constant(50, 8000)
+_GG = "least(1, greatest(0, ((CASE WHEN {v} = 0 THEN -120 ELSE greatest(-120, 20 * log10(abs({v}))) END) + 60) / 40.0::DOUBLE))"
+_GE = "(g + (CASE WHEN g > {e} THEN " + f"{_GA!r}::DOUBLE ELSE {_GR!r}::DOUBLE" + " END) * ({e} - g))"
+_GP = "(1 - exp(-2 * pi() * 200.0::DOUBLE * power(17.5::DOUBLE, {e}) / 8000))"
+query("gate_lowpass", f"""WITH RECURSIVE {S}, z AS MATERIALIZED (SELECT sid, idx, v, {_GG.format(v='v')} AS g FROM s),
+ r AS (SELECT sid, idx, {_GE.format(e='0')} AS env, {_GP.format(e=_GE.format(e='0'))} * v AS low FROM z WHERE idx = 0
+ UNION ALL SELECT z.sid, z.idx, {_GE.format(e='r.env')}, r.low + {_GP.format(e=_GE.format(e='r.env'))} * (z.v - r.low) FROM r JOIN z ON z.sid = r.sid AND z.idx = r.idx + 1)
+ SELECT sid, idx, round(low * env, 6) + 0 AS v FROM r""")(lambda s, d: out(filters.gate_lowpass(samples(s, d), -20.0, 40.0, _GA, _GR, 3500.0, 200.0, 8000)))
 query("delay_feedforward", f"WITH {S} SELECT sid, idx, round(v * 0.8::DOUBLE + coalesce(lag(v, 7) OVER (PARTITION BY sid ORDER BY idx), 0) * 0.5::DOUBLE, 6) + 0 AS v FROM s")(lambda s, d: out(filters.delay(samples(s, d), 7, 0.0, 0.5, 0.8)))
 query("delay_feedback", REC.format(s=S, seed="SELECT sid, idx, v AS buf, v * 0.8::DOUBLE AS y FROM z WHERE idx < 5", step="SELECT z.sid, z.idx, z.v + 0.3::DOUBLE * r.buf, z.v * 0.8::DOUBLE + r.buf * 0.5::DOUBLE FROM r JOIN z ON z.sid = r.sid AND z.idx = r.idx + 5"))(lambda s, d: out(filters.delay(samples(s, d), 5, 0.3, 0.5, 0.8)))
-query("reverb")(lambda s, d: out(arrow.reverb(samples(s, d), 800)))
+
+
+def reverb_sql(rate: int, room: float, damp: float, wet: float, dry: float) -> str:
+    """Each line's past as a list that a recursive step of a sample extends."""
+    scale = lambda n: max(1, int(n * rate / state.BASE + 0.5))
+    fb, dp = room * 0.28 + 0.7, damp * 0.4
+    ctes, last = [], "s"
+    for i, n in enumerate(map(scale, state.COMBS)):
+        old = f"coalesce(list_extract(r.buf, CAST(z.idx - {n} + 1 AS BIGINT)), 0)" if n > 0 else "0"
+        low = f"({old} * {1 - dp!r}::DOUBLE + r.low * {dp!r}::DOUBLE)"
+        x = f"z.v * {state.INPUT!r}::DOUBLE"
+        # list positions start at 1; none before sample n
+        old_ok = f"(CASE WHEN z.idx >= {n} THEN {old} ELSE 0 END)"
+        low = low.replace(old, old_ok)
+        ctes.append(f"c{i} AS (SELECT sid, idx, 0::DOUBLE AS y, 0::DOUBLE AS low, [v * {state.INPUT!r}::DOUBLE] AS buf FROM z WHERE idx = 0 UNION ALL SELECT z.sid, z.idx, {old_ok}, {low}, list_append(r.buf, {x} + {fb!r}::DOUBLE * {low}) FROM c{i} r JOIN z ON z.sid = r.sid AND z.idx = r.idx + 1)")
+    total = " + ".join(f"c{i}.y" for i in range(len(state.COMBS)))
+    joins = " ".join(f"JOIN c{i} ON c{i}.sid = c0.sid AND c{i}.idx = c0.idx" for i in range(1, len(state.COMBS)))
+    ctes.append(f"p AS MATERIALIZED (SELECT c0.sid, c0.idx, {total} AS v FROM c0 {joins})")
+    last = "p"
+    for i, n in enumerate(map(scale, state.ALLPASSES)):
+        old = f"(CASE WHEN z.idx >= {n} THEN list_extract(r.buf, CAST(z.idx - {n} + 1 AS BIGINT)) ELSE 0 END)"
+        ctes.append(f"a{i} AS (SELECT sid, idx, -v AS v, [v] AS buf FROM {last} WHERE idx = 0 UNION ALL SELECT z.sid, z.idx, {old} - z.v, list_append(r.buf, z.v + {old} * 0.5::DOUBLE) FROM a{i} r JOIN {last} z ON z.sid = r.sid AND z.idx = r.idx + 1)")
+        ctes.append(f"m{i} AS MATERIALIZED (SELECT sid, idx, v FROM a{i})")
+        last = f"m{i}"
+    return f"WITH RECURSIVE {S}, z AS MATERIALIZED (SELECT * FROM s), {', '.join(ctes)} SELECT z.sid, z.idx, round({last}.v * {wet!r}::DOUBLE + z.v * {dry!r}::DOUBLE, 6) + 0 AS v FROM {last} JOIN z ON z.sid = {last}.sid AND z.idx = {last}.idx"
+
+
+query("reverb", reverb_sql(200, 0.5, 0.5, 0.3, 1.0))(lambda s, d: out(filters.reverb(samples(s, d), 200)))
 TAPS = [0.5, 0.25, -0.125, 0.0625]
 _CV = f"WITH {S}, h(k, h) AS (VALUES (0, 0.5::DOUBLE), (1, 0.25::DOUBLE), (2, -0.125::DOUBLE), (3, 0.0625::DOUBLE)) SELECT sid, idx + k AS idx, round(sum(v * h), 6) + 0 AS v FROM s, h GROUP BY ALL"
-query("convolve_direct", _CV)(lambda s, d: out(filters.convolve(samples(s, d), s.createDataFrame(list(enumerate(TAPS)), "k long, h double"))))
-query("convolve_fft", _CV)(lambda s, d: out(arrow.convolve_fft(samples(s, d), TAPS)))
+query("convolve_direct", _CV)(lambda s, d: out(filters.convolve(samples(s, d), TAPS)))
+query("convolve_fft", _CV)(lambda s, d: out(filters.convolve_fft(samples(s, d), TAPS)))
 _EM = "e AS (SELECT vec_id AS sid, unnest(range(0, 64)) AS idx, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 query("dft_magnitude", f"WITH {_EM}, b AS (SELECT CAST(range AS INTEGER) AS bin FROM range(33)) SELECT sid, bin, round(sqrt(power(sum(v * cos(2 * pi() * bin * idx / 64)), 2) + power(sum(v * sin(2 * pi() * bin * idx / 64)), 2)), 6) AS magnitude FROM e, b GROUP BY ALL")(
     lambda s, d: rounded(planes(s, d).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn("w", F.lit(2) * F.pi() * F.col("bin") * F.col("idx") / 64).groupBy("sid", "bin").agg(F.sqrt(F.pow(F.sum(F.col("v") * F.cos("w")), F.lit(2.0)) + F.pow(F.sum(F.col("v") * F.sin("w")), F.lit(2.0))).alias("magnitude")), "magnitude")
@@ -212,12 +270,36 @@ query("autocorrelation", f"WITH {S}, p AS (SELECT sid, {', '.join(f'v * lag(v, {
 query("tukey_window", f"WITH {S}, t AS (SELECT *, count(*) OVER (PARTITION BY sid) AS n FROM s), u AS (SELECT *, floor(0.25::DOUBLE * n) - 1 AS t FROM t) SELECT sid, idx, round(v * CASE WHEN t <= 0 THEN 1 WHEN idx < t THEN 0.5 - 0.5 * cos(pi() * idx / t) WHEN idx > n - 1 - t THEN 0.5 - 0.5 * cos(pi() * (n - 1 - idx) / t) ELSE 1 END, 6) + 0 AS v FROM u")(lambda s, d: out(samples(s, d).withColumn("v", F.col("v") * codecs.tukey(F.col("idx"), F.count(F.lit(1)).over(Window.partitionBy("sid")), 0.5))))
 query("wasted_bits", f"WITH {Q16}, t AS (SELECT sid, bit_or(q * 4) AS x FROM q GROUP BY sid) SELECT sid, CASE {' '.join(f'WHEN x & {1 << k} <> 0 THEN {k}' for k in range(15))} ELSE 15 END AS wasted FROM t")(lambda s, d: quantized(s, d).groupBy("sid").agg(F.bit_or(F.col("q") * 4).alias("x")).select("sid", bits.trailing_zeros(F.col("x"), 15).alias("wasted")))
 query("constant_detect", f"WITH {Q16} SELECT sid, idx // 4 AS block, min(q) = max(q) AS constant FROM q GROUP BY ALL")(lambda s, d: quantized(s, d).groupBy("sid", F.floor(F.col("idx") / 4).alias("block")).agg((F.min("q") == F.max("q")).alias("constant")))
-query("crc8")(lambda s, d: table(s, d, "documents").select("doc_id", bits.crc_of(8, 0x07)(F.col("text").cast("binary")).alias("crc")))
-query("crc16")(lambda s, d: table(s, d, "documents").select("doc_id", bits.crc_of(16, 0x8005)(F.col("text").cast("binary")).alias("crc")))
+
+
+def crc_sql(width: int, poly: int) -> str:
+    """A step for each byte, by the table of remainders."""
+    t = bits.crc_table(width, poly)
+    byte = "CAST(('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)"
+    at = f"xor(c >> {width - 8}, {byte})"
+    step = f"xor((c << 8) & {(1 << width) - 256 if width > 8 else 0}, {t}[CAST({at} + 1 AS BIGINT)])"
+    return f"WITH RECURSIVE d AS MATERIALIZED (SELECT conv_id, turn, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM conversations), r AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS c FROM d UNION ALL SELECT d.conv_id, d.turn, r.i + 1, {step} FROM r JOIN d ON d.conv_id = r.conv_id AND d.turn = r.turn WHERE r.i < d.n) SELECT d.conv_id, d.turn, CAST(c AS INTEGER) AS crc FROM r JOIN d ON d.conv_id = r.conv_id AND d.turn = r.turn WHERE r.i = d.n"
+
+
+query("crc8", crc_sql(8, 0x07))(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", bits.crc_of(8, 0x07)(F.col("text").cast("binary")).alias("crc")))
+query("crc16", crc_sql(16, 0x8005))(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", bits.crc_of(16, 0x8005)(F.col("text").cast("binary")).alias("crc")))
 query("pcm_md5", f"WITH {Q16} SELECT sid, md5(string_agg(printf('%04x', CAST((q + 65536) % 65536 AS INTEGER)), '' ORDER BY idx)) AS md5 FROM q GROUP BY sid")(lambda s, d: quantized(s, d).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("idx", F.lower(F.lpad(F.hex((F.col("q") + 65536) % 65536), 4, "0")).alias("x")))).alias("a")).select("sid", F.md5(F.array_join(F.transform("a", lambda e: e["x"]), "").cast("binary")).alias("md5")))
 query("syncsafe_integers", "WITH n AS (SELECT range * 4099 AS n FROM range(60000)) SELECT n, (n & 127) + (((n >> 7) & 127) << 8) + (((n >> 14) & 127) << 16) + (((n >> 21) & 127) << 24) AS safe, n & 268435455 AS back FROM n")(lambda s, d: s.range(60000).select((F.col("id") * 4099).alias("n")).withColumn("safe", bits.syncsafe(F.col("n"))).withColumn("back", bits.unsyncsafe(F.col("safe"))))
-query("ima_adpcm_encode")(lambda s, d: codecs.ima_encode(quantized(s, d).withColumnRenamed("q", "v")))
-query("ima_adpcm_decode")(lambda s, d: codecs.ima_decode(codecs.ima_encode(quantized(s, d).withColumnRenamed("q", "v")).select("sid", "idx", "code")))
+_IS, _IM = f"{ima_adpcm.STEPS.tolist()}", f"{ima_adpcm.INDEX_STEP.tolist()}"
+
+
+def ima_sql(out_: str) -> str:
+    """A step for each sample: the code by comparisons, then what a decoder makes of it."""
+    def step(p: str, i: str) -> str:
+        return f"""SELECT sid, idx, code, CAST(greatest(-32768, least(32767, {p} + CASE WHEN code >= 8 THEN -1 ELSE 1 END * ((st >> 3) + CASE WHEN code & 4 <> 0 THEN st ELSE 0 END + CASE WHEN code & 2 <> 0 THEN st >> 1 ELSE 0 END + CASE WHEN code & 1 <> 0 THEN st >> 2 ELSE 0 END))) AS BIGINT) AS p, greatest(0, least(88, {i} + {_IM}[(code & 7) + 1])) AS i FROM"""
+    code = "SELECT sid, idx, p, i, st, b1 + b2 + CASE WHEN d2 >= st >> 2 THEN 1 ELSE 0 END + neg AS code FROM (SELECT *, CASE WHEN d1 >= st >> 1 THEN 2 ELSE 0 END AS b2, d1 - CASE WHEN d1 >= st >> 1 THEN st >> 1 ELSE 0 END AS d2 FROM (SELECT *, CASE WHEN d >= st THEN 4 ELSE 0 END AS b1, d - CASE WHEN d >= st THEN st ELSE 0 END AS d1 FROM ({src})))"
+    seed = f"SELECT sid, idx, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS i, CAST(7 AS BIGINT) AS st, abs(q) AS d, CASE WHEN q < 0 THEN 8 ELSE 0 END AS neg FROM z WHERE idx = 0"
+    more = f"SELECT z.sid, z.idx, r.p, r.i, CAST({_IS}[r.i + 1] AS BIGINT) AS st, abs(z.q - r.p) AS d, CASE WHEN z.q < r.p THEN 8 ELSE 0 END AS neg FROM r JOIN z ON z.sid = r.sid AND z.idx = r.idx + 1"
+    return f"WITH RECURSIVE {Q16}, z AS MATERIALIZED (SELECT * FROM q), r AS ({step('p', 'i')} ({code.format(src=seed)}) UNION ALL {step('p', 'i')} ({code.format(src=more)})) SELECT sid, idx, {out_} FROM r"
+
+
+query("ima_adpcm_encode", ima_sql("CAST(code AS INTEGER) AS code, CAST(p AS INTEGER) AS decoded"))(lambda s, d: ima_adpcm.encode(quantized(s, d).withColumnRenamed("q", "v")))
+query("ima_adpcm_decode", ima_sql("CAST(p AS INTEGER) AS decoded"))(lambda s, d: ima_adpcm.decode(ima_adpcm.encode(quantized(s, d).withColumnRenamed("q", "v")).select("sid", "idx", "code")))
 
 
 def packets(spark: SparkSession, d: str) -> DataFrame:

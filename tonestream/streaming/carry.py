@@ -5,30 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def one_pole(x: np.ndarray, last_x: float, last_y: float, pole: float) -> np.ndarray:
-    """y[n] = x[n] - x[n-1] + pole * y[n-1] from a state."""
-    out = np.empty(len(x))
-    for i, v in enumerate(x):
-        last_y = v - last_x + pole * last_y
-        last_x = out[i] = v
-        out[i] = last_y
-    return out
+from ..operators import filters
+from ..operators.state import Linear
 
 
 def remove_dc(df: DataFrame, pole: float) -> DataFrame:
-    """The DC filter in numpy, one stream per group, for streams too long for a fold."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("idx")
-        return pd.DataFrame({"sid": p.sid, "idx": p.idx, "v": one_pole(p.v.to_numpy(), 0.0, 0.0, pole)})
-
-    return df.select("sid", "idx", "v").groupBy("sid").applyInPandas(run, "sid long, idx long, v double")
+    """The DC filter in batch, chunk by chunk."""
+    return filters.remove_dc(df, pole)
 
 
 def stream_remove_dc(stream: DataFrame, pole: float) -> DataFrame:
@@ -42,7 +29,9 @@ def stream_remove_dc(stream: DataFrame, pole: float) -> DataFrame:
             if p.idx.iloc[0] != nxt or (p.idx.diff().dropna() != 1).any():
                 raise ValueError(f"stream {key[0]}: expected sample {nxt}, got {p.idx.iloc[0]}")
             v = p.v.to_numpy()
-            out = one_pole(v, x, y, pole)
+            stage = Linear((1.0, -1.0), (-pole,))
+            stage.x[:], stage.y[:] = x, y
+            out = stage.push(v)
             state.update((int(p.idx.iloc[-1]) + 1, float(v[-1]), float(out[-1])))
             yield pd.DataFrame({"sid": p.sid, "idx": p.idx, "v": out})
 
