@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import companding, levels, text
-from ..operators import filters, state
+from ..operators import filters, ima_adpcm, ms_adpcm, state
 from ..sources import flac, flac_meta, tags, wav
 from . import negotiate
+from .diagnostics import Problems
 
 BLOCK = 4096
 #: Channel positions of the named layouts, and of a number of channels.
@@ -75,6 +76,14 @@ def samples_of(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
     """First place, and values as channels by samples, of each piece of a file."""
     if raw[:4] in (b"RIFF", b"RF64"):
         h = wav.parse(raw)
+        if h.codec in wav.ADPCM:
+            module, step = (ms_adpcm if h.codec == "ms-adpcm" else ima_adpcm), 256
+            for k in range(0, h.data_size // h.align, step):
+                piece = raw[h.data_at + k * h.align : h.data_at + min((k + step) * h.align, h.data_size // h.align * h.align)]
+                x = module.decode_blocks(np.frombuffer(piece, np.uint8).reshape(-1, h.align), h.channels).reshape(-1, h.channels)
+                at = k * h.block
+                yield at, x[: max(0, h.samples - at)].T / 32768.0
+            return
         width = h.align // max(h.channels, 1)
         kind = {("lpcm", 1): "u1", ("lpcm", 2): "<i2", ("lpcm", 4): "<i4", ("float", 4): "<f4", ("float", 8): "<f8", ("alaw", 1): "u1", ("ulaw", 1): "u1"}
         if (h.codec, width) not in kind and (h.codec, width) != ("lpcm", 3):
@@ -102,7 +111,7 @@ def describe(raw: bytes) -> tuple[Profile, tags.Bundle]:
     if raw[:4] in (b"RIFF", b"RF64"):
         h = wav.parse(raw)
         b = tags.parse_info(h.chunks.get("LIST", b""))
-        return Profile(h.rate, h.channels, 16 if h.codec in ("alaw", "ulaw") else min(h.bits, 24), h.codec), tags.merge(b, tags.parse(h.chunks.get("id3 ", b"")))
+        return Profile(h.rate, h.channels, 16 if h.codec in ("alaw", "ulaw", *wav.ADPCM) else min(h.bits, 24), h.codec), tags.merge(b, tags.parse(h.chunks.get("id3 ", b"")))
     try:
         i = flac.parse(raw)
     except ValueError as e:
@@ -355,13 +364,18 @@ class Spec:
     force: bool = False
     inputs: tuple[tuple[str, str], ...] = ()
     wires: tuple[str, ...] = ()
+    codec: str = ""
 
     @property
-    def target(self) -> str:
+    def extension(self) -> str:
         end = Path(self.output).suffix.lower()
         if end not in FORMATS:
             raise ConversionError("resolver", "unknown-muxer", f"no format for {end or 'a name without an extension'}")
-        return FORMATS[end][0]
+        return end
+
+    @property
+    def target(self) -> str:
+        return FORMATS[self.extension][0]
 
 
 @dataclass
@@ -402,20 +416,48 @@ def wiring(spec: Spec, names: list[str]) -> dict[str, dict[str, str]]:
     return out
 
 
-def build(spark: SparkSession, spec: Spec) -> Plan:
-    """Resolves names and settings first, so that mistakes show before any file is read."""
-    target, chain = spec.target, [settings(f) for f in spec.filters]
+def stream_of(p: Profile, codec: str = "lpcm") -> negotiate.Stream:
+    return negotiate.Stream(codec, p.rate, p.channels, next(f for f, n in (("s8", 8), ("s16", 16), ("s24", 24), ("s32", 32)) if p.bits <= n), p.bits)
+
+
+def build(spark: SparkSession, spec: Spec, catalog: Any = None) -> Plan:
+    """Resolves names and settings first, so that mistakes show before any file is read;
+    then the catalog's decoder, encoder and muxer, with the cheapest conversions that the
+    encoder asks for spliced in behind the filters."""
+    from . import builtin, catalog as catalogs
+
+    registry = (catalog or builtin.catalog()).registry
+    end, chain = spec.extension, [settings(f) for f in spec.filters]
+    for name, _ in chain:
+        registry.filter(name)
+    codec = spec.codec or FORMATS[end][1]
+    try:
+        registry.muxer(registry.encoder(codec).codecs[0], end)
+    except Problems as e:
+        raise ConversionError("resolver", e.items[0].code, str(e)) from e
     wired = wiring(spec, [n for n, _ in chain])
     df, source, bundle = read(spark, spec.input)
-    p = source
+    p, steps = source, []
     for name, values in chain:
         if name in JOINERS:
             ports = {port: read(spark, path)[:2] for port, path in wired.get(name, {}).items()}
             df, p = JOINERS[name][1](df, p, values, ports)
         else:
             df, p = FILTERS[name][1](df, p, values)
-    p = replace(p, codec=dict(FORMATS.values())[target])
-    return Plan(spec, df, source, p, bundle, [f"{n}:{','.join(f'{k}={v}' for k, v in vs.items())}" for n, vs in chain])
+        steps.append(f"{name}:{','.join(f'{k}={v}' for k, v in values.items())}")
+    try:
+        route = catalogs.negotiate_route(registry, stream_of(source, source.codec), stream_of(p), codec, end)
+    except Problems as e:
+        raise ConversionError("routing", e.items[0].code, str(e)) from e
+    for name, to in route.conversions:
+        if name == "convert":
+            df, p = converted(df, p, {"bits-per-sample": to.bits})
+        elif name == "resample":
+            df, p = resampled(df, p, {"sample-rate": to.rate})
+        else:
+            df, p = remixed(df, p, {"layout": to.layout, "normalize": True})
+        steps.append(f"{name} (for {route.encoder.name}): {to.signature}")
+    return Plan(spec, df, source, replace(p, codec=codec), bundle, steps)
 
 
 @contextmanager
@@ -433,35 +475,72 @@ def committed(path: str, force: bool) -> Iterator[Any]:
             os.unlink(part)
 
 
-def write(plan: Plan, seen: Callable[[int, int], None] = lambda n, size: None) -> None:
-    """Codes blocks over the cluster and strings them together in order. Sizes, the
-    digest and the number of samples go into the header at the end."""
-    p = plan.result
-    q = wide(plan.data.withColumn("v", levels.quantize(F.col("v"), p.bits)), p.channels)
-    cols = tuple(f"c{i}" for i in range(p.channels))
-    is_flac = plan.spec.target == "flac"
-    container = (p.bits + 7) // 8 * 8
-    if not is_flac:  # left-justified, eight bits unsigned
-        q = q.select("sid", "idx", *[(F.shiftleft(F.col(c), container - p.bits) + (128 if container == 8 else 0)).alias(c) for c in cols])
+#: Bytes of an ADPCM block for each channel.
+ADPCM_BLOCK = 512
+#: WAVE format tags by codec.
+WAVE_TAGS = {"lpcm": 1, "float": 3, "alaw": 6, "ulaw": 7, "ms-adpcm": 2, "ima-adpcm": 0x11}
+
+
+def coded(plan: Plan) -> tuple[DataFrame, int]:
+    """Rows of block, n (samples) and frame (bytes), in order; and the bits of a sample in
+    the container."""
+    p, cols = plan.result, tuple(f"c{i}" for i in range(plan.result.channels))
+    if p.codec == "flac":
+        q = wide(plan.data.withColumn("v", levels.quantize(F.col("v"), p.bits)), p.channels)
+        return flac.frames(q, size=BLOCK, bits=p.bits, channels=cols, in_order=True), p.bits
+    size, container = BLOCK, (p.bits + 7) // 8 * 8
+    if p.codec == "float":
+        w, container = wide(plan.data, p.channels), 32
+    elif p.codec == "lpcm":  # left-justified, eight bits unsigned
+        w = wide(plan.data.withColumn("v", F.shiftleft(levels.quantize(F.col("v"), p.bits), container - p.bits) + (128 if container == 8 else 0)), p.channels)
+    else:
+        w, container = wide(plan.data.withColumn("v", levels.quantize(F.col("v"), 16)), p.channels), 8
+        if p.codec in wav.ADPCM:
+            size = (ms_adpcm if p.codec == "ms-adpcm" else ima_adpcm).samples_per_block(ADPCM_BLOCK * p.channels, p.channels)
+        else:
+            law = companding.alaw_encode if p.codec == "alaw" else companding.ulaw_encode
+            w = w.select("sid", "idx", *[law(F.col(c).cast("int")).alias(c) for c in cols])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [np.array(x, np.int64).T.ravel() for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
-            raw = [x.astype("u1").tobytes() if container == 8 else x.astype("<i4").view("u1").reshape(-1, 4)[:, : container // 8].tobytes() for x in made]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(x) // p.channels for x in made], pa.int64()), pa.array(raw, pa.binary())], names=["sid", "block", "n", "frame"])
+            sizes, raw = [], []
+            for row in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                x = np.array(row).T
+                sizes.append(len(x))
+                if p.codec == "float":
+                    raw.append(x.astype("<f4").tobytes())
+                elif p.codec in wav.ADPCM:
+                    x = np.pad(x.astype(np.int64), ((0, size - len(x)), (0, 0)), mode="edge")[None]
+                    raw.append((ms_adpcm if p.codec == "ms-adpcm" else ima_adpcm).encode_blocks(x).tobytes())
+                elif container == 8:
+                    raw.append(x.astype("u1").tobytes())
+                else:
+                    raw.append(np.ascontiguousarray(x.astype("<i4")).view("u1").reshape(-1, 4)[:, : container // 8].tobytes())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary())], names=["sid", "block", "n", "frame"])
+
+    rows = w.groupBy("sid", F.floor(F.col("idx") / size).alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", *cols))).alias("s"))
+    kind = "array<double>" if p.codec == "float" else "array<long>"
+    rows = rows.select("sid", "block", *[F.col(f"s.{c}").cast(kind).alias(c) for c in cols]).orderBy("block")
+    return rows.mapInArrow(pack, "sid long, block long, n long, frame binary"), container
 
-    if is_flac:
-        rows = flac.frames(q, size=BLOCK, bits=p.bits, channels=cols, in_order=True)
-    else:
-        rows = q.groupBy("sid", F.floor(F.col("idx") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", *cols))).alias("s"))
-        rows = rows.select("sid", "block", *[F.col(f"s.{c}").cast("array<long>").alias(c) for c in cols]).orderBy("block").mapInArrow(pack, "sid long, block long, n long, frame binary")
+
+def write(plan: Plan, seen: Callable[[int, int], None] = lambda n, size: None) -> None:
+    """Codes blocks over the cluster and strings them together in order. Sizes, the
+    digest and the number of samples go into the header at the end; beyond 4 GiB a WAV
+    file becomes RF64, for which room is kept."""
+    p = plan.result
+    rows, container = coded(plan)
+    is_flac = p.codec == "flac"
     with committed(plan.spec.output, plan.spec.force) as f:
         info = lambda sizes, n, md5: flac.stream_info(BLOCK, sizes or [0], p.rate, p.channels, p.bits, n, md5)
         head = lambda sizes, n, md5: flac_meta.build(info(sizes, n, md5), plan.tags)
         listed = tags.build_info(plan.tags) if plan.tags else b""
         tail = b"LIST" + len(listed).to_bytes(4, "little") + listed if len(listed) > 4 else b""
-        blank = head([], 0, bytes(16)) if is_flac else wav.build(b"", channels=p.channels, rate=p.rate, bits=container)
-        f.write(blank)
+        tag, align = WAVE_TAGS.get(p.codec, 1), ADPCM_BLOCK * p.channels if p.codec in wav.ADPCM else None
+        wave = lambda n: wav.build(b"", channels=p.channels, rate=p.rate, bits=container, tag=tag, align=align, samples=None if p.codec == "lpcm" else n)
+        junk = b"JUNK" + (28).to_bytes(4, "little") + bytes(28)
+        blank = head([], 0, bytes(16)) if is_flac else wave(0)
+        f.write(blank if is_flac else blank[:12] + junk + blank[12:])
         digest, n, size, extremes = hashlib.md5(usedforsecurity=False), 0, 0, []
         for row in rows.toLocalIterator(prefetchPartitions=True):
             raw = bytes(row.frame)
@@ -474,13 +553,16 @@ def write(plan: Plan, seen: Callable[[int, int], None] = lambda n, size: None) -
         if is_flac:
             f.seek(0)
             f.write(head(extremes, n, digest.digest()))
+            return
+        f.write(bytes(size % 2) + tail)
+        f.seek(0)
+        done = wave(n)
+        whole = len(done) + len(junk) - 8 + size + size % 2 + len(tail)
+        if whole < 0xFFFFFFFF:
+            f.write(done[:4] + whole.to_bytes(4, "little") + done[8:12] + junk + done[12:-4] + size.to_bytes(4, "little"))
         else:
-            f.write(bytes(size % 2) + tail)
-            f.seek(0)
-            whole = len(blank) - 8 + size + size % 2 + len(tail)
-            if whole >= 0xFFFFFFFF:
-                raise ConversionError("muxer", "too-large", "files beyond 4 GiB need a writer that seeks into ds64")
-            f.write(blank[:4] + whole.to_bytes(4, "little") + blank[8:-4] + size.to_bytes(4, "little"))
+            wide_ = whole.to_bytes(8, "little") + size.to_bytes(8, "little") + n.to_bytes(8, "little") + bytes(4)
+            f.write(b"RF64" + b"\xff" * 4 + done[8:12] + b"ds64" + (28).to_bytes(4, "little") + wide_ + done[12:-4] + b"\xff" * 4)
 
 
 class Job:
