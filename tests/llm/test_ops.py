@@ -324,7 +324,7 @@ def test_segments_are_maximal():
     rng = random.Random(1)
     for _ in range(150):
         scores = [rng.choice([-3, -1.25, -0.5, 0.75, 1.5, 2.25]) + rng.random() / 1000 for _ in range(rng.randint(0, 14))]
-        got = toxicity.segments(scores)
+        got = toxicity.segments(np.array(scores))
         assert [(a, b) for a, b, _ in got] == all_segments(scores)
         assert all(abs(s - sum(scores[a:b])) < 1e-9 for a, b, s in got)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import copysign, exp, log, log1p
 
 import numpy as np
@@ -25,6 +25,8 @@ PREFIX = 4
 PRIOR, DRIFT = 1.0, 1.5
 #: Bins of word scores, and of the texts' evidence, on either side of 0.
 STEP, BINS = 0.05, 400
+#: Words whose scores a worker keeps, for each class; and texts that it holds at a time.
+MOST_KNOWN, TEXTS = 150_000, 500
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -39,19 +41,18 @@ def places(feature: str) -> list[int]:
     return [xxhash.xxh64_intdigest(raw, row) & (1 << BITS) - 1 for row in range(ROWS)]
 
 
-def segments(scores: list[float]) -> list[tuple[int, int, float]]:
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, as (first, last + 1, score), in linear time.
 
-    Candidates are kept on a stack with the sums before and after them, and joined while
-    an earlier one starts lower and ends lower.
+    Only places with a positive score can begin or end one; each is a candidate with the
+    sums before and after it. Candidates are kept on a stack, and joined while an earlier
+    one starts lower and ends lower.
     """
+    sums = np.cumsum(scores)
+    at = np.flatnonzero(scores > 0)
     stack: list[tuple[int, int, float, float]] = []
-    total = 0.0
-    for place, s in enumerate(scores):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        new = (place, place + 1, before, total)
+    for place, before, after in zip(at.tolist(), (sums[at] - scores[at]).tolist(), sums[at].tolist(), strict=True):
+        new = (place, place + 1, before, after)
         while stack:
             k = len(stack) - 1
             while k >= 0 and stack[k][2] >= new[2]:
@@ -66,42 +67,55 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """counts: for each hashing and place the toxic and clean texts with a feature; texts:
-    how many of each there are; rate and starts: lambda and K of the chance extreme; fit:
-    intercept and slope of the calibration."""
+    """counts: for toxic and for clean texts, and for each hashing, how many texts have a
+    feature of each place; texts: how many of each there are; rate and starts: lambda and
+    K of the chance extreme; fit: intercept and slope of the calibration."""
 
     counts: np.ndarray
     texts: tuple[int, int]
     rate: float = 1.0
     starts: float = 1.0
     fit: tuple[float, float] = (-1000.0, 0.0)
-    known: dict[tuple[str, int], float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.known: dict[int, dict[str, float]] = {-1: {}, 0: {}, 1: {}}
+        self.tables: list[tuple[memoryview, memoryview]] = []
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "tables")}
+
+    def __setstate__(self, own: dict) -> None:
+        self.__dict__.update(own)
+        self.__post_init__()
 
     def word(self, raw: str, own: int = -1) -> float:
         """Log-odds of the word less DRIFT. Its share of toxic texts has a Dirichlet prior
         of PRIOR texts with the share of its beginning, whose prior is the share of all
         texts; of several hashings the least count holds. A text that was counted itself,
         as class `own`, is left out."""
-        key = (raw, own)
-        if key not in self.known:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            toxic, clean = self.texts
-            share = base = toxic / (toxic + clean)
-            for f in features(raw):
-                t, c = np.min([self.counts[row, at] for row, at in enumerate(places(f))], axis=0).tolist()
-                t, c = max(0, t - (own == 1)), max(0, c - (own == 0))
-                share = (t + PRIOR * share) / (t + c + PRIOR)
-            self.known[key] = log(share / (1 - share) * (1 - base) / base) - DRIFT
-        return self.known[key]
-
-    def scan(self, text: str, own: int = -1) -> tuple[list[float], list[tuple[int, int, float]]]:
+        if not self.tables:
+            self.tables = [(memoryview(self.counts[0, r]), memoryview(self.counts[1, r])) for r in range(ROWS)]
+        toxic, clean = self.texts
+        share = base = toxic / (toxic + clean)
+        for f in features(raw):
+            at = places(f)
+            t = max(0, min(x[0][k] for x, k in zip(self.tables, at, strict=True)) - (own == 1))
+            c = max(0, min(x[1][k] for x, k in zip(self.tables, at, strict=True)) - (own == 0))
+            share = (t + PRIOR * share) / (t + c + PRIOR)
+        return log(share / (1 - share) * (1 - base) / base) - DRIFT
+
+    def scan(self, text: str, own: int = -1) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
         """Word scores and maximal segments; without a positive score the best word."""
-        scores = [self.word(w, own) for w in WORDS.findall(text.lower())]
+        words, known = WORDS.findall(text.lower()), self.known[own]
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self.word(w, own)
+        scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         found = segments(scores)
-        if not found and scores:
+        if not found and len(scores):
             at = int(np.argmax(scores))
-            found = [(at, at + 1, scores[at])]
+            found = [(at, at + 1, float(scores[at]))]
         return scores, found
 
     def chance(self, n: int) -> float:
@@ -114,15 +128,16 @@ class Model:
         limit = self.chance(len(scores))
         return [(a, b, self.rate * s - limit) for a, b, s in found if self.rate * s > limit]
 
-    def evidence(self, text: str) -> float:
-        """The best segment's excess, which may be below zero, and those of all other
-        significant ones."""
+    def judge(self, text: str) -> tuple[float, int]:
+        """Probability, and the number of significant passages. The evidence is the best
+        segment's excess, which may be below zero, and those of all other significant ones."""
         scores, found = self.scan(text)
         if not found:
-            return -float(BINS)
+            return self.score(-float(BINS)), 0
         limit = self.chance(len(scores))
-        excess = sorted((self.rate * s - limit for *_, s in found), reverse=True)
-        return excess[0] + sum(x for x in excess[1:] if x > 0)
+        excess = [self.rate * s - limit for *_, s in found]
+        top, more = max(excess), [x for x in excess if x > 0]
+        return self.score(top + sum(more) - max(top, 0.0)), len(more)
 
     def score(self, evidence: float) -> float:
         z = self.fit[0] + self.fit[1] * damped(evidence)
@@ -137,6 +152,12 @@ def held_out(ident: Column) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % 3 == 1
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, TEXTS):
+            yield b.slice(k, TEXTS)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000) -> Model | None:
     """docs: doc_id, text; labels: doc_id, toxic.
 
@@ -156,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000) -> Mod
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, n = np.zeros((2, ROWS << BITS), np.int32), [0, 0]
-        for b in batches:
+        for b in sliced(batches):
             for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n[toxic] += 1
                 found = {f for w in set(WORDS.findall(text.lower())) for f in features(w)}
@@ -172,21 +193,21 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000) -> Mod
     if not len(size) or not t[size[0]] or not c[size[0]]:
         dropped(rows)
         return None
-    table = np.zeros((ROWS << BITS, 2), np.int32)
-    table[place[place >= 0], 0], table[place[place >= 0], 1] = t[place >= 0], c[place >= 0]
-    model = Model(table.reshape(ROWS, 1 << BITS, 2), (int(t[size[0]]), int(c[size[0]])))
+    table = np.zeros((2, ROWS << BITS), np.int32)
+    table[0, place[place >= 0]], table[1, place[place >= 0]] = t[place >= 0], c[place >= 0]
+    model = Model(table.reshape(2, ROWS, 1 << BITS), (int(t[size[0]]), int(c[size[0]])))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, histogram = shared.value, np.zeros(2 * BINS + 1, np.int64)
         names, lists = ["toxic", "n", "best", "found", "words"], pa.list_(pa.int64())
         kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), lists]
-        for b in batches:
+        for b in sliced(batches):
             out: list[tuple] = []
             for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 scores, found = own.scan(text, toxic)
-                if not toxic and scores:
-                    histogram += np.bincount(np.clip(np.rint(np.array(scores) / STEP), -BINS, BINS).astype(int) + BINS, minlength=2 * BINS + 1)
+                if not toxic and len(scores):
+                    histogram += np.bincount(np.clip(np.rint(scores / STEP), -BINS, BINS).astype(int) + BINS, minlength=2 * BINS + 1)
                 each = [s for *_, s in found]
                 out.append((toxic, len(scores), max(each, default=None), each, None))
             yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
@@ -208,7 +229,6 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000) -> Mod
     x = F.signum(x) * F.log1p(F.abs(x))
     bins = texts.groupBy(F.round(x / STEP).alias("bin")).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     model.fit = _logistic(np.array([r["bin"] for r in bins]) * STEP, np.array([r["t"] for r in bins], float), np.array([r["n"] - r["t"] for r in bins], float))
-    model.known.clear()
     for df in (rows, scanned):
         dropped(df)
     return model
@@ -242,27 +262,6 @@ def _logistic(x: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float, most_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """docs' columns as `row`, doc_id, score, predicted, n_passages."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = train(slim, labels, most_rows=most_rows)
-    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if model is None:
-        return own.select("row", "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).alias("n_passages"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            score = [own.score(own.evidence(t)) for t in texts]
-            found = [len(own.passages(t)) if s >= 0.5 else 0 for t, s in zip(texts, score, strict=True)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(found, pa.int32())], names=["row", "doc_id", "score", "predicted", "n_passages"])
-
-    schema = own.select("row", "doc_id").schema.add("score", "double").add("predicted", "integer").add("n_passages", "integer")
-    return own.mapInArrow(run, schema)
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_passages.
 
@@ -270,19 +269,40 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, thr
     linear-time scan finds all maximal segments of word log-odds, for and against; the
     best one's excess over the extreme value expected by chance and those of all other
     significant ones are summed, and a logistic curve maps the sum to a probability.
-    n_passages counts the significant ones of texts with a score of 0.5 or more.
+    n_passages counts the significant ones.
 
     Null and empty texts have the least evidence. Null ids are never held out. Repeated
     rows are scored alike; equal scores are possible and mean nothing. Empty documents
     give no rows; without labels of both classes all scores are 0. Other columns are
     ignored.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = scored(slim, labels, threshold, most_rows, "doc_id", "text")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "n_passages")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    model = train(slim, labels, most_rows=most_rows)
+    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    if model is None:
+        return slim.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).alias("n_passages"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in sliced(batches):
+            found = [own.judge(t or "") for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int32())], names=["doc_id", "score", "predicted", "n_passages"])
+
+    return slim.mapInArrow(run, "doc_id long, score double, predicted int, n_passages int").select("doc_id", held, "score", "predicted", "n_passages")
 
 
 def kept(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text is not predicted to be toxic. Columns may
     have any names."""
-    return scored(docs, labels, threshold, most_rows, id_col, text_col).filter("predicted = 0").select("row.*")
+    model = train(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), labels, most_rows=most_rows)
+    if model is None:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in sliced(batches):
+            yield b.filter(pa.array([own.judge("" if t is None else str(t))[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
