@@ -248,7 +248,8 @@ def boilerplate(done: DataFrame) -> DataFrame:
 
     A host's distinct streams are dealt into parts of about GROUP bytes by their digest;
     each part has a suffix array of its own. Hosts in one part are counted by it; of
-    others the parts' strings are counted again over all parts, which are written once.
+    others the parts' strings are counted again over all parts. Pages are parsed again for
+    each pass, which costs less than to keep their text: a pass holds one copy on disk.
     """
     share = min(LOOSE[0], INSIDE[0])
     spark = done.sparkSession
@@ -258,20 +259,22 @@ def boilerplate(done: DataFrame) -> DataFrame:
     if large.count() <= FEW:  # hosts of over GROUP bytes, a short row each
         large = F.broadcast(large)
     rows = done.join(large, "host", "left").select("host", "stream", F.coalesce("parts", F.lit(1)).alias("parts"), F.pmod("u", F.coalesce("parts", F.lit(1))).alias("part"))
-    groups = saved(rows.groupBy("host", "part", "parts").agg(F.collect_set("stream").alias("streams")))
+    groups = rows.groupBy("host", "part", "parts").agg(F.collect_set("stream").alias("streams"))
     freed(spark)
     local = saved(groups.select("host", "part", "parts", "streams").mapInArrow(lambda it: local_strings(it, share), "host string, part long, parts long, pages long, strings array<struct<w:binary,n:long>>"))
+    freed(spark)
     pages = local.groupBy("host").agg(F.sum("pages").alias("pages"))
     each = local.select("host", "parts", F.explode("strings").alias("s")).select("host", "parts", "s.w", "s.n")
     found = each.filter("parts = 1").select("host", "w", "n")
     wanted = saved(each.filter("parts > 1").groupBy("host").agg(F.collect_set("w").alias("wanted")))
     if wanted.take(1):
-        more = groups.join(wanted, "host").select("host", "streams", "wanted").mapInArrow(recount, "host string, w binary, n long")
+        more = groups.filter("parts > 1").join(wanted, "host").select("host", "streams", "wanted").mapInArrow(recount, "host string, w binary, n long")
         found = found.unionByName(more.groupBy("host", "w").agg(F.sum("n").alias("n")))
     least = lambda rule: F.greatest(F.col("pages") * rule[0], F.lit(float(rule[1])))
     out = saved(found.join(pages, "host").filter(F.col("n") >= F.least(least(LOOSE), least(INSIDE))).select("host", "w", (F.col("n") >= least(INSIDE)).alias("inside")))
-    for x in (groups, local, wanted):
+    for x in (local, wanted):
         dropped(x)
+    freed(spark)
     return out
 
 
@@ -323,8 +326,7 @@ def main_text(pages: DataFrame, *, few: int = FEW) -> DataFrame:
     """
     spark = pages.sparkSession
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    done = saved(slim.mapInArrow(parse, "page_id long, url string, host string, u long, stream string"))
-    freed(spark)
+    done = slim.mapInArrow(parse, "page_id long, url string, host string, u long, stream string")
     strings = boilerplate(done)
     schema = "page_id long, url string, text string"
     if strings.count() <= few:
