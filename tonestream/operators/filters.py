@@ -105,6 +105,19 @@ def mixer(ports: DataFrame, weights: dict[str, float]) -> DataFrame:
     return ports.groupBy("k").agg(F.sum(F.col("v") * w[F.col("port")]).alias("v"))
 
 
+def mixer_matrix(ports: DataFrame, weights: dict[str, dict[str, float]], normalize_: bool = False) -> DataFrame:
+    """port, k, v -> port, k, v: every output is a weighted sum of the inputs, aligned by
+    ordinal; weights: output -> input -> weight. With normalize_, an output whose weights
+    exceed 1 in their absolute sum has them divided by it."""
+    scaled = {o: {i: w / max(1.0, sum(map(abs, ws.values())) if normalize_ else 1.0) for i, w in ws.items()} for o, ws in weights.items()}
+    goes = F.lit(None).cast("array<struct<out:string,w:double>>")
+    for i in sorted({i for ws in scaled.values() for i in ws}):
+        to = F.array(*[F.struct(F.lit(o).alias("out"), F.lit(float(ws[i])).alias("w")) for o, ws in scaled.items() if i in ws])
+        goes = F.when(F.col("port") == i, to).otherwise(goes)
+    each = ports.select("k", "v", F.explode(goes).alias("g"))
+    return each.groupBy(F.col("g.out").alias("port"), "k").agg(F.sum(F.col("v") * F.col("g.w")).alias("v"))
+
+
 def clamp_l1(values: str) -> F.Column:
     """An array whose absolute sum exceeds 1, divided by it."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
@@ -131,8 +144,9 @@ def retime(df: DataFrame, factor: float, rate: int, relabel: bool = False) -> Da
     """Speed by interpolation (the rate's label stays) or by another label alone."""
     if factor == 1:
         return df
-    if relabel:
-        return df.withColumn("rate", F.lit(round(rate * factor)))
+    if relabel:  # the same samples at another rate: places stay, durations shrink
+        to = round(rate * factor)
+        return df.withColumns({"rate": F.lit(to), "seconds": F.col("idx") / F.lit(float(to))})
     return resample(df, rate, round(rate / factor))
 
 

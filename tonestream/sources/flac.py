@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import crc_table
+from ..functions.bits import crc_bytes, crc_shifts, crc_table
 from ..operators.codecs import levinson
 
 #: Bits a sample by their code in a frame header; 0 means as in STREAMINFO.
@@ -22,9 +22,12 @@ ORDER, PRECISION = 8, 14
 #: Rice parameters that are tried, and the deepest partitioning.
 PARAMETERS, DEEPEST = 31, 6
 CRC8, CRC16 = crc_table(8, 0x07), crc_table(16, 0x8005)
+_FOLDS = {8: (np.array(CRC8, np.int64), crc_shifts(8, 0x07)), 16: (np.array(CRC16, np.int64), crc_shifts(16, 0x8005))}
 
 
 def crc(raw: bytes, table: list[int], width: int) -> int:
+    if len(raw) > 64:  # long payloads are folded in halves
+        return crc_bytes(raw, width, *_FOLDS[width])
     x, top, mask = 0, width - 8, (1 << width) - 1
     for b in raw:
         x = x << 8 & mask ^ table[x >> top ^ b]
@@ -305,10 +308,11 @@ class Info:
     first: int
 
 
-def parse(raw: bytes) -> Info:
-    """STREAMINFO and where the frames start. ID3v2 tags before the marker are skipped."""
+def parse(raw: bytes, *, strict: bool = False) -> Info:
+    """STREAMINFO and where the frames start. ID3v2 tags before the marker are skipped.
+    Strictly there are none, STREAMINFO comes first and once, and no kind is reserved."""
     at = 0
-    while raw[at : at + 3] == b"ID3" and at + 10 <= len(raw):
+    while not strict and raw[at : at + 3] == b"ID3" and at + 10 <= len(raw):
         size = 0
         for b in raw[at + 6 : at + 10]:
             size = size << 7 | b & 127
@@ -323,6 +327,8 @@ def parse(raw: bytes) -> Info:
         body = raw[at + 4 : at + 4 + size]
         if len(body) < size:
             raise ValueError("metadata is cut off")
+        if strict and (kind > 6 or (kind == 0) != (info is None)):
+            raise ValueError(f"a block of kind {kind} does not belong here")
         if kind == 0 and size >= 34 and info is None:
             tail = int.from_bytes(body[10:18], "big")
             info = Info(int.from_bytes(body[2:4], "big"), int.from_bytes(body[7:10], "big"), tail >> 44, (tail >> 41 & 7) + 1, (tail >> 36 & 31) + 1, tail & (1 << 36) - 1, body[18:34], 0)
@@ -333,10 +339,108 @@ def parse(raw: bytes) -> Info:
     return info
 
 
-def read_frames(raw: bytes) -> Iterator[np.ndarray]:
-    """The frames of a file, one in memory at a time. Sums, the number of samples and the
-    digest, where stated, must be right."""
-    info = parse(raw)
+#: Bytes that are searched for a first frame where the marker is missing.
+SEARCH = 1 << 20
+
+
+def frame_header(raw: bytes, at: int) -> tuple[int, bool, int] | None:
+    """Number (of the frame, or of its first sample if sizes vary), whether sizes vary, and
+    samples of a frame whose header's sum is right; None if none starts there."""
+    if raw[at : at + 2] not in (b"\xff\xf8", b"\xff\xf9") or at + 6 > len(raw):
+        return None
+    size, rate, kind, bits = raw[at + 2] >> 4, raw[at + 2] & 15, raw[at + 3] >> 4, raw[at + 3] >> 1 & 7
+    if not size or rate == 15 or kind > 10 or bits not in SAMPLE_BITS or raw[at + 3] & 1:
+        return None
+    lead, here = raw[at + 4], at + 5
+    more = 8 - (lead ^ 0xFF).bit_length() if lead >= 0xC0 else 0
+    number = lead & 0x7F if not more else lead & (1 << 7 - more) - 1
+    for b in raw[here : here + max(0, more - 1)]:
+        number = number << 6 | b & 63
+    here += max(0, more - 1)
+    n = 192 if size == 1 else 576 << size - 2 if size <= 5 else 256 << size - 8
+    if size in (6, 7):
+        n = int.from_bytes(raw[here : here + size - 5], "big") + 1
+        here += size - 5
+    here += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if here >= len(raw) or raw[here] != crc(raw[at:here], CRC8, 8):
+        return None
+    return number, raw[at + 1] & 1 == 1, n
+
+
+def frame_places(raw: bytes, first: int | None = None, *, strict: bool = False) -> Iterator[tuple[int, int, int]]:
+    """Place, bytes and samples of each frame. A frame ends where the next header has a
+    greater number and the same blocking, behind a right sum over all bytes, or with the
+    file. What has a wrong sum is skipped to the next frame, or an error if strict; a bad
+    last frame ends the stream."""
+    at = parse(raw).first if first is None else first
+    while at < len(raw):
+        here = frame_header(raw, at)
+        if here is None:
+            if strict:
+                raise ValueError(f"no frame at byte {at}")
+            at = next_header(raw, at + 1)
+            continue
+        end, found = at + 6, 0
+        while not found:
+            end = next_header(raw, end)
+            other = frame_header(raw, end) if end < len(raw) else None
+            if other and (other[1] != here[1] or other[0] <= here[0]):
+                end += 1
+                continue
+            found = end if crc(raw[at : end - 2], CRC16, 16) == int.from_bytes(raw[end - 2 : end], "big") else -1
+            if found < 0 and end < len(raw) and other:
+                if other[0] == here[0] + (here[2] if here[1] else 1):  # the next one: this one is damaged
+                    break
+                found, end = 0, end + 1
+        if found > 0:
+            yield at, end - at, here[2]
+        elif strict:
+            raise ValueError(f"the frame at byte {at} is damaged")
+        at = end
+
+
+def next_header(raw: bytes, at: int) -> int:
+    """The next place with a whole header, or the end."""
+    while at < len(raw):
+        at = raw.find(b"\xff", at)
+        if at < 0:
+            return len(raw)
+        if frame_header(raw, at):
+            return at
+        at += 1
+    return len(raw)
+
+
+def synthesized(raw: bytes) -> Info:
+    """What a file without its marker is, by its first frame within SEARCH bytes."""
+    at = next_header(raw[: SEARCH + 16], 0)
+    h = frame_header(raw, at) if at < min(len(raw), SEARCH) else None
+    if h is None:
+        raise ValueError("not a FLAC file")
+    rates = [0, 88200, 176400, 192000, 8000, 16000, 22050, 24000, 32000, 44100, 48000, 96000]
+    rate, kind = raw[at + 2] & 15, raw[at + 3] >> 4
+    return Info(h[2], 0, rates[rate] if rate < 12 else 44100, 2 if kind >= 8 else kind + 1, SAMPLE_BITS[raw[at + 3] >> 1 & 7] or 16, 0, bytes(16), at)
+
+
+def read_frames(raw: bytes, *, strict: bool = True) -> Iterator[np.ndarray]:
+    """The frames of a file, one in memory at a time. Strictly, sums, parameters, the
+    number of samples and the digest, where stated, must be right; else damaged frames are
+    skipped, a missing marker is made up for, and totals aren't compared."""
+    try:
+        info = parse(raw)
+    except ValueError:
+        if strict:
+            raise
+        info = synthesized(raw)
+    if not strict:
+        for at, size, _ in frame_places(raw, info.first):
+            try:
+                x, _ = read_frame(raw[at : at + size], info.bits)
+            except (ValueError, EOFError):
+                continue
+            if len(x) == info.channels:
+                yield x
+        return
     at, seen, digest = info.first, 0, hashlib.md5(usedforsecurity=False)
     guess = info.largest or info.size * info.channels * (info.bits + 1) // 8 + 64
     while at < len(raw):
@@ -354,9 +458,14 @@ def read_frames(raw: bytes) -> Iterator[np.ndarray]:
         digest.update(pcm(x, info.bits))
         at, seen = at + size, seen + x.shape[1]
         yield x
-    if info.samples and seen != info.samples:
+    validate(info, seen, digest.digest())
+
+
+def validate(info: Info, samples: int, md5: bytes) -> None:
+    """The end of a stream against its STREAMINFO."""
+    if info.samples and samples != info.samples:
         raise ValueError("the file has another number of samples than it states")
-    if any(info.md5) and digest.digest() != info.md5:
+    if any(info.md5) and md5 != info.md5:
         raise ValueError("the samples' digest is wrong")
 
 
