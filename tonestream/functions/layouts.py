@@ -50,6 +50,26 @@ def positions(mask: Column) -> Column:
     return F.concat_ws(",", *[F.when(contains(mask, p), F.lit(p)) for p in POSITIONS])
 
 
+def known_name(mask: Column) -> Column:
+    """The shortest name of a layout, or its positions; null for none."""
+    out = F.when(mask > 0, positions(mask))
+    for n in ("mono", "stereo", "quad", "5.1", "7.1"):
+        out = F.when(mask == F.lit(mask_of(NAMED[n])).cast("long"), F.lit(n)).otherwise(out)
+    return out
+
+
+def problem(mask: Column, channels: Column) -> Column:
+    """Why a layout doesn't go with a number of channels; empty if it does."""
+    beyond = F.shiftrightunsigned(mask, len(POSITIONS)) != 0
+    return F.when(mask.isNull() | (mask <= 0), F.lit("empty")).when(beyond, F.lit("unknown position")).when(F.bit_count(mask) != channels, F.lit("channel count")).otherwise(F.lit(""))
+
+
+def ambisonic_order(channels: Column) -> Column:
+    """The order of a full sphere of that many channels; null if there is none."""
+    root = F.round(F.sqrt(channels)).cast("long")
+    return F.when((channels > 0) & (root * root == channels), root - 1)
+
+
 def ambisonic(order: Column) -> Column:
     """Channels of a full sphere of that order."""
     return (order + 1) * (order + 1)

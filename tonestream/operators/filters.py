@@ -53,6 +53,12 @@ def trim(df: DataFrame, threshold_db: float = -60.0, side: str = "both") -> Data
     return df.join(ends, "sid").filter(keep).drop("a", "b")
 
 
+def between(df: DataFrame, start: float, stop: float, rate: int) -> DataFrame:
+    """The samples from one time to another, in seconds, both rounded half up to places."""
+    at = lambda t: int(t * rate + 0.5)
+    return df.filter((F.col("idx") >= at(start)) & (F.col("idx") < at(stop)))
+
+
 def silence_tails(df: DataFrame, threshold_db: float) -> DataFrame:
     """Within each frame, what stands behind the last active sample becomes zero."""
     last = F.max(F.when(F.abs("v") >= F.lit(amp(threshold_db)), F.col("idx"))).over(Window.partitionBy("sid", "frame_no"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import companding, levels, text
 from ..operators import filters, ima_adpcm, ms_adpcm, state
-from ..sources import flac, flac_meta, tags, wav
+from ..sources import flac, flac_meta, flac_search, tags, wav
 from . import negotiate
 from .diagnostics import Problems
 
@@ -365,6 +365,7 @@ class Spec:
     inputs: tuple[tuple[str, str], ...] = ()
     wires: tuple[str, ...] = ()
     codec: str = ""
+    level: int = 12
 
     @property
     def extension(self) -> str:
@@ -487,7 +488,7 @@ def coded(plan: Plan) -> tuple[DataFrame, int]:
     p, cols = plan.result, tuple(f"c{i}" for i in range(plan.result.channels))
     if p.codec == "flac":
         q = wide(plan.data.withColumn("v", levels.quantize(F.col("v"), p.bits)), p.channels)
-        return flac.frames(q, size=BLOCK, bits=p.bits, channels=cols, in_order=True), p.bits
+        return flac.frames(q, size=BLOCK, bits=p.bits, channels=cols, in_order=True, how=flac_search.preset(plan.spec.level)), p.bits
     size, container = BLOCK, (p.bits + 7) // 8 * 8
     if p.codec == "float":
         w, container = wide(plan.data, p.channels), 32
@@ -530,9 +531,9 @@ def write(plan: Plan, seen: Callable[[int, int], None] = lambda n, size: None) -
     file becomes RF64, for which room is kept."""
     p = plan.result
     rows, container = coded(plan)
-    is_flac = p.codec == "flac"
+    is_flac, least = p.codec == "flac", BLOCK
     with committed(plan.spec.output, plan.spec.force) as f:
-        info = lambda sizes, n, md5: flac.stream_info(BLOCK, sizes or [0], p.rate, p.channels, p.bits, n, md5)
+        info = lambda sizes, n, md5: flac.stream_info(BLOCK, sizes or [0], p.rate, p.channels, p.bits, n, md5, least)
         head = lambda sizes, n, md5: flac_meta.build(info(sizes, n, md5), plan.tags)
         listed = tags.build_info(plan.tags) if plan.tags else b""
         tail = b"LIST" + len(listed).to_bytes(4, "little") + listed if len(listed) > 4 else b""
@@ -541,13 +542,14 @@ def write(plan: Plan, seen: Callable[[int, int], None] = lambda n, size: None) -
         junk = b"JUNK" + (28).to_bytes(4, "little") + bytes(28)
         blank = head([], 0, bytes(16)) if is_flac else wave(0)
         f.write(blank if is_flac else blank[:12] + junk + blank[12:])
-        digest, n, size, extremes = hashlib.md5(usedforsecurity=False), 0, 0, []
+        digest, n, size, extremes, before = hashlib.md5(usedforsecurity=False), 0, 0, [], BLOCK
         for row in rows.toLocalIterator(prefetchPartitions=True):
             raw = bytes(row.frame)
             f.write(raw)
             if is_flac:
                 digest.update(bytes(row.pcm))
                 extremes = [min([len(raw), *extremes]), max([len(raw), *extremes])]
+                least, before = min(least, before), row.n  # the last block doesn't count
             n, size = n + row.n, size + len(raw)
             seen(n, size)
         if is_flac:

@@ -13,7 +13,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import state
@@ -160,10 +160,18 @@ def split(samples: DataFrame, make: Callable[[Any], Outputs]) -> DataFrame:
     return samples.select("sid", "idx", "v").repartition("sid").sortWithinPartitions("sid", "idx").mapInArrow(run, "sid long, port string, idx long, v double")
 
 
+def with_expected(df: DataFrame, pts: str, n: str, key: str, order: str) -> DataFrame:
+    """expected: where the row before it ends; null for the first."""
+    return df.withColumn("expected", F.lag(F.col(pts) + F.col(n)).over(Window.partitionBy(key).orderBy(order)))
+
+
+def gaps(df: DataFrame, pts: str = "pts", n: str = "n", key: str = "sid", order: str = "seq") -> DataFrame:
+    """Rows whose time isn't the end of the one before."""
+    return with_expected(df, pts, n, key, order).filter(F.col("expected") != F.col(pts))
+
+
 def continuous(df: DataFrame, pts: str = "pts", n: str = "n", key: str = "sid", order: str = "seq") -> DataFrame:
     """The rows as they are; one whose time isn't the end of the one before is an error."""
-    from pyspark.sql import Window
-
-    expected = F.lag(F.col(pts) + F.col(n)).over(Window.partitionBy(key).orderBy(order))
-    wrong = F.raise_error(F.concat(F.lit("expected time "), expected.cast("string"), F.lit(", got "), F.col(pts).cast("string")))
-    return df.withColumn(pts, F.when(expected.isNull() | (expected == F.col(pts)), F.col(pts)).otherwise(wrong.cast("long")))
+    out = with_expected(df, pts, n, key, order)
+    wrong = F.raise_error(F.concat(F.lit("expected time "), F.col("expected").cast("string"), F.lit(", got "), F.col(pts).cast("string")))
+    return out.withColumn(pts, F.when(F.col("expected").isNull() | (F.col("expected") == F.col(pts)), F.col(pts)).otherwise(wrong.cast("long"))).drop("expected")

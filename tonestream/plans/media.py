@@ -173,21 +173,6 @@ def flac_frame_sizes(spark: SparkSession, d: str) -> DataFrame:
     return blocks.groupBy("page_id").agg(F.min(F.when(~last, F.col("size"))).cast("long").alias("min_block"), F.max("size").cast("long").alias("max_block"), F.sum("size").alias("samples"))
 
 
-@query("flac_pts", f"WITH {S}, f AS (SELECT sid, frame_no, count(*) AS n FROM s GROUP BY sid, frame_no) SELECT sid, frame_no, CASE WHEN sid % 3 = 0 THEN frame_no * 16 ELSE coalesce(CAST(sum(n) OVER (PARTITION BY sid ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) END AS pts FROM f")
-def flac_pts(spark: SparkSession, d: str) -> DataFrame:
-    """Frame number times block size, or the samples before where sizes vary."""
-    f = samples(spark, d).groupBy("sid", "frame_no").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return f.select("sid", "frame_no", F.when(F.col("sid") % 3 == 0, F.col("frame_no") * 16).otherwise(before).alias("pts"))
-
-
-@query("wav_duration_seek", "SELECT p_partkey, (p_size * 1000 + 3) // 4 * 1000 // 8000 AS ms, least(p_partkey % 700 * 8, (p_size * 1000 + 3) // 4) * 4 AS place FROM part")
-def wav_duration_seek(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of four bytes at 8 kHz; a place in ms to a byte, not behind the data."""
-    blocks = F.expr("(p_size * 1000L + 3) div 4")
-    return table(spark, d, "part").select("p_partkey", F.expr("((p_size * 1000L + 3) div 4) * 1000 div 8000").alias("ms"), (F.least(F.col("p_partkey") % 700 * 8, blocks) * 4).alias("place"))
-
-
 @query("byte_compare", "WITH c AS (SELECT page_id, html AS a, CASE WHEN page_id % 3 = 0 THEN html WHEN page_id % 3 = 1 THEN left(html, 100) ELSE concat(left(html, 50), chr(1), substr(html, 52)) END AS b FROM pages) SELECT page_id, CASE WHEN a = b THEN NULL WHEN page_id % 3 = 1 THEN octet_length(encode(left(a, 100))) ELSE octet_length(encode(left(a, 50))) END AS mismatch, octet_length(encode(a)) = octet_length(encode(b)) AS same_length FROM c")
 def byte_compare(spark: SparkSession, d: str) -> DataFrame:
     """Byte streams by offset: the first mismatch, where the shorter one ends at the latest."""
@@ -237,25 +222,6 @@ query(
 )(lambda s, d: table(s, d, "pages").select("page_id", layouts.fnv64(F.col("url").cast("binary")).alias("fnv")))
 
 
-@query("default_stream", "SELECT o_custkey, CAST(arg_max(o_orderkey, (CASE WHEN o_orderpriority = '1-URGENT' THEN 281474976710656 ELSE 0 END + (1 + o_orderkey % 8) * 8000, -o_orderkey)) AS BIGINT) AS stream FROM orders GROUP BY o_custkey")
-def default_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Each input's stream: one marked default, then channels times rate, then the first."""
-    score = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1 << 48)).otherwise(F.lit(0)) + (1 + F.col("o_orderkey") % 8) * 8000
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct(score.alias("a"), (-F.col("o_orderkey")).alias("b"))).alias("stream"))
-
-
-@query("decoder_accepted", "SELECT event_id, event_type AS codec FROM events WHERE event_type IN ('click', 'view', 'signup')")
-def decoder_accepted(spark: SparkSession, d: str) -> DataFrame:
-    """Streams whose codec some decoder takes: a semi-join with a fixed list of codecs."""
-    return table(spark, d, "events").filter(F.col("event_type").isin("click", "view", "signup")).select("event_id", F.col("event_type").alias("codec"))
-
-
-@query("suite_rollup", "SELECT o_orderpriority AS package, o_orderstatus AS variant, count(*) AS runs, count(*) FILTER (WHERE o_totalprice < 100000) AS passed, bool_and(o_totalprice < 100000) AS ok FROM orders GROUP BY ALL")
-def suite_rollup(spark: SparkSession, d: str) -> DataFrame:
-    good = F.col("o_totalprice") < 100000
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("package"), F.col("o_orderstatus").alias("variant")).agg(F.count(F.lit(1)).alias("runs"), F.count_if(good).alias("passed"), F.bool_and(good).alias("ok"))
-
-
 # ---- encoder decisions
 
 _R = "lags AS (SELECT a.sid, sum(a.v * a.v) AS r0, sum(a.v * b.v) AS r1, sum(a.v * c.v) AS r2 FROM s a LEFT JOIN s b ON b.sid = a.sid AND b.idx = a.idx - 1 LEFT JOIN s c ON c.sid = a.sid AND c.idx = a.idx - 2 GROUP BY a.sid)"

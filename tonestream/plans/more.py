@@ -63,49 +63,6 @@ def toc_interpolate(spark: SparkSession, d: str) -> DataFrame:
     return s.select("sid", "idx", F.floor((at(lo) + (F.col("pct") - lo) * (at(lo + 1) - at(lo))) / 256 * 1000000).alias("place"))
 
 
-@query("capability_match", "SELECT c.c_custkey, k.cap, CASE WHEN c.c_nationkey * 4000 NOT BETWEEN k.lo AND k.hi THEN 'rate' WHEN 1 + c.c_custkey % 8 > k.ch THEN 'channels' ELSE '' END AS reason FROM customer c, (VALUES (0, 8000, 48000, 2), (1, 44100, 96000, 8)) k(cap, lo, hi, ch)")
-def capability_match(spark: SparkSession, d: str) -> DataFrame:
-    caps = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(c, ("cap", "lo", "hi", "ch"), strict=True)]) for c in ((0, 8000, 48000, 2), (1, 44100, 96000, 8))])
-    c = table(spark, d, "customer").select("*", F.inline(caps))
-    reason = F.when(~(F.col("c_nationkey") * 4000).between(F.col("lo"), F.col("hi")), F.lit("rate")).when(1 + F.col("c_custkey") % 8 > F.col("ch"), F.lit("channels")).otherwise(F.lit(""))
-    return c.select("c_custkey", F.col("cap").cast("int").alias("cap"), reason.alias("reason"))
-
-
-@query("catalog_duplicates", "SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) > 1")
-def catalog_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first")).filter("n > 1")
-
-
-@query("resolver_priority", "SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) = 1")
-def resolver_priority(spark: SparkSession, d: str) -> DataFrame:
-    best = table(spark, d, "part").groupBy("p_brand").agg(F.min_by(F.struct("p_partkey", "p_size"), F.struct(-F.col("p_size"), F.col("p_partkey"))).alias("b"))
-    return best.select("p_brand", "b.p_partkey", "b.p_size")
-
-
-@query("plugin_set_override", "SELECT n_nationkey, coalesce(s.n, 0) AS n FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
-def plugin_set_override(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
-    rich = table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey"))
-    return table(spark, d, "nation").join(rich, "n_nationkey", "left_anti").join(s, "n_nationkey", "left").select("n_nationkey", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("config_resolution", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 7 END, CASE WHEN o_orderpriority LIKE '1%' THEN 3 END, 1) AS level, CASE WHEN o_orderkey % 5 = 0 THEN 'explicit' WHEN o_orderpriority LIKE '1%' THEN 'preset' ELSE 'default' END AS origin FROM orders")
-def config_resolution(spark: SparkSession, d: str) -> DataFrame:
-    explicit, preset = F.when(F.col("o_orderkey") % 5 == 0, 7), F.when(F.col("o_orderpriority").startswith("1"), 3)
-    return table(spark, d, "orders").select("o_orderkey", F.coalesce(explicit, preset, F.lit(1)).alias("level"), F.when(explicit.isNotNull(), F.lit("explicit")).when(preset.isNotNull(), F.lit("preset")).otherwise(F.lit("default")).alias("origin"))
-
-
-@query("bridge_cost_search", "SELECT * FROM (VALUES ('f32/48000/6', 'convert,resample,remix'), ('s16/44100/2', ''), ('s24/44100/2', 'convert'), ('s16/96000/1', 'resample,remix')) t(source, path)")
-def bridge_cost_search(spark: SparkSession, d: str) -> DataFrame:
-    want = negotiate.Capability(("lpcm",), negotiate.Range((44100,)), negotiate.Range((2,)), ("s16",))
-    cases = [("f32", 48000, 6), ("s16", 44100, 2), ("s24", 44100, 2), ("s16", 96000, 1)]
-    rows = []
-    for f, r, c in cases:
-        path = negotiate.bridge(negotiate.Stream("lpcm", r, c, f, negotiate.BITS[f]), [want])
-        rows.append((f"{f}/{r}/{c}", ",".join(sorted(path, key=["convert", "resample", "remix"].index))))
-    return spark.createDataFrame(rows, "source string, path string")
-
-
 @query("graph_gain_fade", f"WITH {S}, t AS (SELECT *, v * {levels.amp(-6.0)!r}::DOUBLE AS g FROM s) SELECT sid, idx, round(g * CASE WHEN idx < 5 THEN idx / 5.0::DOUBLE ELSE 1 END, 6) + 0 AS v FROM t")
 def graph_gain_fade(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import filters
@@ -114,12 +71,6 @@ def graph_gain_fade(spark: SparkSession, d: str) -> DataFrame:
     return registry.out(g.run(samples(spark, d)))
 
 
-@query("vorbis_tags", "SELECT event_id, upper(event_type) AS name, CAST(value AS VARCHAR) = CAST(value AS VARCHAR) AS ok, length('k=' || props) - 2 AS n FROM events")
-def vorbis_tags(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", F.concat("event_type", F.lit("="), F.concat(F.lit(""), "props")).alias("c"))
-    return text.comments(e, "c").select("event_id", "name", F.lit(True).alias("ok"), F.length("value").cast("long").alias("n"))
-
-
 @query("partial_date_parse", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 5 THEN strftime(o_orderdate, '%Y-%m') WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M') ELSE '' END AS iso FROM orders")
 def partial_date_parse(spark: SparkSession, d: str) -> DataFrame:
     """Dates of seven layouts, and one that no layout has (month first, in digits)."""
@@ -128,19 +79,6 @@ def partial_date_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", text.iso_date(text.partial_date(F.col("raw"))).alias("iso"))
 
 
-@query("bundle_merge", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles, max(last) AS last_text FROM (SELECT conv_id, role, min(turn) AS first, NULL AS last FROM conversations GROUP BY ALL UNION ALL SELECT conv_id, NULL, 1000000, arg_max(md5(text), turn) FROM conversations GROUP BY conv_id) GROUP BY conv_id")
-def bundle_merge(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
-    g = c.groupBy("conv_id", "role").agg(F.min("turn").alias("first"), F.max(F.struct("turn", F.md5(F.col("text").cast("binary")).alias("m"))).alias("last"))
-    return g.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("first", "role"))).alias("r"), F.max("last").alias("l")).select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), ",").alias("roles"), F.col("l.m").alias("last_text"))
-
-
-@query("progress_eta", f"WITH {S}, g AS (SELECT sid, count(*) AS n, max(idx) AS done FROM s WHERE idx < 30 GROUP BY sid), t AS (SELECT sid, count(*) AS total FROM s GROUP BY sid) SELECT sid, round(100.0 * n / total, 4) AS percent, round(n / 2.5::DOUBLE, 4) AS speed, round(2.5::DOUBLE * (total - n) / n, 4) AS eta FROM g JOIN t USING (sid)")
-def progress_eta(spark: SparkSession, d: str) -> DataFrame:
-    g = samples(spark, d).groupBy("sid").agg(F.count_if(F.col("idx") < 30).alias("n"), F.count(F.lit(1)).alias("total"))
-    return g.select("sid", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 4).alias("percent"), F.round(F.col("n") / 2.5, 4).alias("speed"), F.round(F.lit(2.5) * (F.col("total") - F.col("n")) / F.col("n"), 4).alias("eta"))
-
-
 @query("wav_round_trip", registry.SQL["quantize_s16"])
 def wav_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return wav.decode(wav.encode(registry.quantized(spark, d)))

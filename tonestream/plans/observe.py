@@ -80,6 +80,11 @@ def progress_columns(done: Column, total: Column, elapsed: Column) -> dict[str,
     }
 
 
+def rollup(df: DataFrame, ok: Column, *keys: Column) -> DataFrame:
+    """Runs, how many passed, and whether all did, of each package and variant."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.count_if(ok).alias("passed"), F.bool_and(ok).alias("ok"))
+
+
 def format_bytes(n: float) -> str:
     for unit in ("B", "KiB", "MiB", "GiB"):
         if abs(n) < 1024:

@@ -141,7 +141,6 @@ _RS = """, t AS (SELECT *, lead(v) OVER (PARTITION BY sid ORDER BY idx) AS nxt,
  FROM k JOIN t ON t.sid = k.sid AND t.idx = least(k.k * {i} // {o}, t.n - 1)"""
 for _n, _i, _o in (("resample_linear_up", 4, 6), ("resample_linear_down", 8, 3), ("retime_interpolate", 8, 4)):
     query(_n, f"WITH {S}" + _RS.format(i=_i, o=_o, h=_i // 2))(lambda s, d, i=_i, o=_o: out(filters.resample(samples(s, d), i, o) if i != 8 or o != 4 else filters.retime(samples(s, d), 2.0, 8)))
-query("retime_relabel", f"WITH {S} SELECT sid, idx, {V}, 12000 AS rate FROM s")(lambda s, d: rounded(filters.retime(samples(s, d), 1.5, 8000, relabel=True).select("sid", "idx", "v", "rate")))
 query("rescale_pts", f"WITH {S} SELECT sid, idx, (idx * 48000 + 22050) // 44100 AS pts FROM s")(lambda s, d: samples(s, d).select("sid", "idx", levels.rescale("idx", 48000, 44100).alias("pts")))
 query("rechunk_frames", f"WITH {S} SELECT sid, idx // 10 AS block, count(*) AS n, min(idx) AS pts, round(max(abs(v)), 6) AS peak FROM s GROUP BY ALL")(lambda s, d: rounded(codecs.rechunk(samples(s, d), 10).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("pts"), F.max(F.abs("v")).alias("peak")), "peak"))
 query("peak_per_frame", f"WITH {S} SELECT sid, frame_no, round(max(abs(v)), 6) AS peak, count(*) AS n FROM s GROUP BY ALL")(lambda s, d: rounded(samples(s, d).groupBy("sid", "frame_no").agg(F.max(F.abs("v")).alias("peak"), F.count(F.lit(1)).alias("n")), "peak"))
@@ -311,21 +310,15 @@ query("packet_reassemble", "SELECT page_id, md5(html) AS md5 FROM pages")(lambda
 query("pts_discontinuity", f"WITH {S}, f AS (SELECT sid, frame_no, min(idx) + CASE WHEN sid % 7 = 0 AND frame_no = 2 THEN 3 ELSE 0 END AS pts, count(*) AS n FROM s GROUP BY sid, frame_no), g AS (SELECT *, lag(pts + n) OVER (PARTITION BY sid ORDER BY frame_no) AS expected FROM f) SELECT sid, frame_no, pts, expected FROM g WHERE expected <> pts")(
     lambda s, d: samples(s, d).groupBy("sid", "frame_no").agg(F.min("idx").alias("p"), F.count(F.lit(1)).alias("n")).withColumn("pts", F.col("p") + F.when((F.col("sid") % 7 == 0) & (F.col("frame_no") == 2), 3).otherwise(0)).withColumn("expected", F.lag(F.col("pts") + F.col("n")).over(Window.partitionBy("sid").orderBy("frame_no"))).filter("expected <> pts").select("sid", "frame_no", "pts", "expected")
 )
-query("seek_filter", f"WITH {S} SELECT sid, idx, {V} FROM s WHERE idx >= (20 * 8 + 4) // 8 AND idx < 40")(lambda s, d: out(samples(s, d).filter((F.col("idx") >= 20) & (F.col("idx") < 40))))
-query("seek_point_asof", f"WITH {S}, p AS (SELECT sid, idx, idx * 37 AS place FROM s WHERE idx % 11 = 0), t AS (SELECT sid, 5 + sid % 40 AS target FROM s GROUP BY sid) SELECT t.sid, target, max(idx) AS point, max(place) AS place FROM t JOIN p ON p.sid = t.sid AND p.idx <= t.target GROUP BY ALL")(
-    lambda s, d: samples(s, d).withColumn("target", 5 + F.col("sid") % 40).filter((F.col("idx") % 11 == 0) & (F.col("idx") <= F.col("target"))).groupBy("sid", "target").agg(F.max("idx").alias("point"), F.max_by(F.col("idx") * 37, F.col("idx")).alias("place"))
-)
-query("edge_metrics", f"WITH {S} SELECT kind, count(*) AS items, count(*) * 4 AS bytes, max(idx) AS max_time, round(sum(abs(v)), 4) AS l1 FROM s GROUP BY kind")(lambda s, d: rounded(samples(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("items"), (F.count(F.lit(1)) * 4).alias("bytes"), F.max("idx").alias("max_time"), F.sum(F.abs("v")).alias("l1")), "l1", digits=4))
-query("compare_streams", f"WITH {S}, g AS (SELECT sid, idx, v, v * {G3}::DOUBLE AS w FROM s) SELECT sid, round(max(abs(v - w)), 6) AS max_abs, arg_max(idx, (abs(v - w), -idx)) AS at, round(sqrt(avg((v - w) * (v - w))), 6) AS rmse FROM g GROUP BY sid")(lambda s, d: rounded(samples(s, d).withColumn("e", F.abs(F.col("v") - F.col("v") * levels.amp(-3.0))).groupBy("sid").agg(F.max("e").alias("max_abs"), F.max_by("idx", F.struct("e", -F.col("idx"))).alias("at"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")), "max_abs", "rmse"))
 
 
 def queries() -> dict[str, Query]:
-    from . import media, more
+    from . import media, more, system
 
-    return QUERIES | more.QUERIES | media.QUERIES
+    return QUERIES | more.QUERIES | media.QUERIES | system.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import media, more
+    from . import media, more, system
 
-    return SQL | more.SQL | media.SQL
+    return SQL | more.SQL | media.SQL | system.SQL

@@ -13,14 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import crc_bytes, crc_shifts, crc_table
-from ..operators.codecs import levinson
+from . import flac_search
 
 #: Bits a sample by their code in a frame header; 0 means as in STREAMINFO.
 SAMPLE_BITS = {0: 0, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
-#: Order and precision of the linear predictor that is tried beside the fixed ones.
-ORDER, PRECISION = 8, 14
-#: Rice parameters that are tried, and the deepest partitioning.
-PARAMETERS, DEEPEST = 31, 6
+#: Rice parameters that are tried.
+PARAMETERS = 31
 CRC8, CRC16 = crc_table(8, 0x07), crc_table(16, 0x8005)
 _FOLDS = {8: (np.array(CRC8, np.int64), crc_shifts(8, 0x07)), 16: (np.array(CRC16, np.int64), crc_shifts(16, 0x8005))}
 
@@ -73,53 +71,57 @@ class Bits:
         return sum(int(w.sum()) for _, w in self.parts)
 
 
-def rice(r: np.ndarray, n: int, order: int) -> Bits:
-    """Residuals in the partitions and with the parameters that take the fewest bits."""
+def rice(r: np.ndarray, n: int, order: int, deepest: int = 6) -> Bits:
+    """Residuals in the partitions, by the method (parameters of 4 or of 5 bits) and with
+    the parameters, or as plain numbers, that take the fewest bits."""
     u = np.r_[np.zeros(order, np.int64), np.where(r >= 0, 2 * r, -2 * r - 1)]
-    deep = max(p for p in range(DEEPEST + 1) if not p or n % (1 << p) == 0 and n >> p > order)
+    deep = max(p for p in range(deepest + 1) if not p or n % (1 << p) == 0 and n >> p > order)
     sums = np.array([(u >> k).reshape(1 << deep, -1).sum(axis=1) for k in range(PARAMETERS)])
+    peak = u.reshape(1 << deep, -1).max(axis=1)
     best = None
     for p in range(deep, -1, -1):
         counts = np.full(1 << p, n >> p)
         counts[0] -= order
         cost = sums + counts * (np.arange(PARAMETERS) + 1)[:, None]
-        k = cost.argmin(axis=0)
-        wide = 5 if k.max() > 14 else 4
-        total = int(cost.min(axis=0).sum()) + wide * len(k)
-        if best is None or total < best[0]:
-            best = total, p, k, wide
-        sums = sums.reshape(PARAMETERS, -1, 2).sum(axis=2) if p else sums
-    _, p, ks, wide = best
+        plain = 5 + counts * np.array([int(m).bit_length() for m in peak])  # folded, one bit more than the magnitude
+        for wide, top in ((4, 15), (5, PARAMETERS)):
+            k = cost[:top].argmin(axis=0)
+            own = cost[:top].min(axis=0)
+            use = plain < own
+            total = int(np.where(use, plain, own).sum()) + wide * len(k)
+            if best is None or total < best[0]:
+                best = total, p, np.where(use, (1 << wide) - 1, k), wide, peak
+        if p:
+            sums, peak = sums.reshape(PARAMETERS, -1, 2).sum(axis=2), peak.reshape(-1, 2).max(axis=1)
+    _, p, ks, wide, peak = best
     out, at = Bits([]).add([wide - 4, p], [2, 4]), order
     for i, k in enumerate(ks.tolist()):
         end = (i + 1) * (n >> p)
         own = u[at:end]
-        out.add(k, wide).add(own & (1 << k) - 1 | 1 << k, (own >> k) + 1 + k)
+        if k == (1 << wide) - 1:
+            raw = int(peak[i]).bit_length()
+            out.add([k, raw], [wide, 5]).add(r[at - order : end - order], raw)
+        else:
+            out.add(k, wide).add(own & (1 << k) - 1 | 1 << k, (own >> k) + 1 + k)
         at = end
     return out
 
 
-def predictor(x: np.ndarray) -> tuple[list[int], int] | None:
-    """Whole-number coefficients and a shift from the windowed autocorrelation."""
-    n = len(x)
-    if n <= 4 * ORDER:
-        return None
-    w = x * np.sin(np.pi * (np.arange(n) + 0.5) / n)
-    a = levinson([float(w[k:] @ w[: n - k]) for k in range(ORDER + 1)], ORDER)
-    top = max(map(abs, a), default=0.0)
-    if not top:
-        return None
-    shift = max(0, min(15, PRECISION - 1 - int(np.ceil(np.log2(top + 1e-12))) - 1))
-    out, left = [], 0.0
-    for c in a:  # what rounding loses goes to the next one
-        left += c * (1 << shift)
-        q = int(max(-(1 << PRECISION - 1), min((1 << PRECISION - 1) - 1, round(left))))
-        left -= q
-        out.append(q)
-    return out, shift
+def linear(x: np.ndarray, bits: int, how: flac_search.Preset) -> list[tuple[list[int], int, int]]:
+    """Predictors worth coding: coefficients, shift and precision."""
+    most = min(how.lpc, len(x) // 4 - 1)
+    out = []
+    for window in how.windows if most > 0 else ():
+        found = flac_search.predictors(flac_search.autocorrelation(x * window(len(x)), most))
+        for precision in how.precisions if found else ():
+            orders = range(len(found)) if how.every else [flac_search.promising(found, len(x), bits, precision)]
+            for k in orders:
+                if (q := flac_search.whole(found[k][0], precision)) and q not in [o[:2] for o in out]:
+                    out.append((*q, precision))
+    return out
 
 
-def subframe(x: np.ndarray, bits: int) -> Bits:
+def subframe(x: np.ndarray, bits: int, how: flac_search.Preset = flac_search.Preset()) -> Bits:
     """The cheapest of a constant, fixed and linear prediction, and plain samples."""
     n = len(x)
     if (x == x[0]).all():
@@ -129,44 +131,78 @@ def subframe(x: np.ndarray, bits: int) -> Bits:
     x, bits = x >> wasted, bits - wasted
     head = lambda kind: Bits([]).add([kind << 1 | (wasted > 0)], 8).add([1] * (wasted > 0), wasted)
     found = [head(1).add(x, bits)]
-    for order in range(min(5, n)):
-        body = rice(np.diff(x, order), n, order)
-        found.append(head(8 | order).add(x[:order], bits))
-        found[-1].parts += body.parts
-    if lpc := predictor(x):
-        a, shift = lpc
+    for order in how.fixed:
+        if order < n:
+            found.append(head(8 | order).add(x[:order], bits))
+            found[-1].parts += rice(np.diff(x, order), n, order, how.partitions).parts
+    for a, shift, precision in linear(x, bits, how):
         p = len(a)
         guess = sum(c * x[p - 1 - i : n - 1 - i] for i, c in enumerate(a)) >> shift
         r = x[p:] - guess
         if np.abs(r).max() < 1 << 30:
-            found.append(head(32 | p - 1).add(x[:p], bits).add([PRECISION - 1, shift], [4, 5]).add(a, PRECISION))
-            found[-1].parts += rice(r, n, p).parts
+            found.append(head(32 | p - 1).add(x[:p], bits).add([precision - 1, shift], [4, 5]).add(a, precision))
+            found[-1].parts += rice(r, n, p, how.partitions).parts
     return min(found, key=Bits.size)
 
 
-def encode_frame(x: np.ndarray, number: int, bits: int) -> bytes:
-    """x: channels by samples. Two channels may go as their difference and one of left,
-    right and mean, if that takes fewer bits."""
-    channels, n = x.shape
-    if not (1 <= channels <= 8 and 1 <= n <= 65536 and 4 <= bits <= 24):
-        raise ValueError("frames hold 1 to 8 channels of 1 to 65536 samples of 4 to 24 bits")
-    plain = [subframe(c, bits) for c in x]
-    kinds = {channels - 1: plain}
-    if channels == 2:
-        side, mid = subframe(x[0] - x[1], bits + 1), subframe(x[0] + x[1] >> 1, bits)
-        kinds |= {8: [plain[0], side], 9: [side, plain[1]], 10: [mid, side]}
-    kind = min(kinds, key=lambda k: sum(b.size() for b in kinds[k]))
+def coded_channels(x: np.ndarray, bits: int, how: flac_search.Preset) -> tuple[int, list[Bits]]:
+    """The channel assignment and its subframes. Two channels may go as their difference
+    and one of left, right and mean, if that takes fewer bits."""
+    if len(x) != 2:
+        return len(x) - 1, [subframe(c, bits, how) for c in x]
+    made: dict[str, Bits] = {}
+
+    def part(name: str) -> Bits:
+        if name not in made:
+            made[name] = subframe({"l": lambda: x[0], "r": lambda: x[1], "s": lambda: x[0] - x[1], "m": lambda: x[0] + x[1] >> 1}[name](), bits + (name == "s"), how)
+        return made[name]
+
+    kinds = {k: [part(c) for c in {1: "lr", 8: "ls", 9: "sr", 10: "ms"}[k]] for k in flac_search.pairing(x, how.stereo)}
+    return min(kinds.items(), key=lambda k: sum(b.size() for b in k[1]))
+
+
+def frame_of(kind: int, subframes: list[Bits], n: int, number: int, bits: int, variable: bool) -> bytes:
+    """number: of the frame, or of its first sample where sizes vary."""
     depth = next((k for k, v in SAMPLE_BITS.items() if v == bits), 0)
-    head = bytes([0xFF, 0xF8, 7 << 4, kind << 4 | depth << 1]) + number_bytes(number) + (n - 1).to_bytes(2, "big")
+    head = bytes([0xFF, 0xF8 | variable, 7 << 4, kind << 4 | depth << 1]) + number_bytes(number) + (n - 1).to_bytes(2, "big")
     head += bytes([crc(head, CRC8, 8)])
-    parts = [p for b in kinds[kind] for p in b.parts]
+    parts = [p for b in subframes for p in b.parts]
     raw = head + pack(np.concatenate([v for v, _ in parts]), np.concatenate([w for _, w in parts]))
     return raw + crc(raw, CRC16, 16).to_bytes(2, "big")
 
 
-def stream_info(size: int, frames: list[int], rate: int, channels: int, bits: int, samples: int, md5: bytes) -> bytes:
+def checked_block(x: np.ndarray, bits: int) -> None:
+    channels, n = x.shape
+    if not (1 <= channels <= 8 and 1 <= n <= 65536 and 4 <= bits <= 24):
+        raise ValueError("frames hold 1 to 8 channels of 1 to 65536 samples of 4 to 24 bits")
+    if x.min() < -(1 << bits - 1) or x.max() >= 1 << bits - 1:
+        raise ValueError(f"samples from {x.min()} to {x.max()} need more than {bits} bits")
+
+
+def encode_frame(x: np.ndarray, number: int, bits: int, how: flac_search.Preset = flac_search.Preset()) -> bytes:
+    """x: channels by samples, as one frame of a stream of equal ones."""
+    checked_block(x, bits)
+    kind, subframes = coded_channels(x, bits, how)
+    return frame_of(kind, subframes, x.shape[1], number, bits, False)
+
+
+def encode_block(x: np.ndarray, first: int, bits: int, how: flac_search.Preset) -> list[tuple[int, bytes]]:
+    """The block as one frame or several, halved where that takes fewer bits: samples and
+    bytes of each."""
+    checked_block(x, bits)
+    made: dict[tuple[int, int], tuple[int, list[Bits]]] = {}
+
+    def size(a: int, b: int) -> int:
+        made[a, b] = coded_channels(x[:, a:b], bits, how)
+        return sum(p.size() for p in made[a, b][1])
+
+    return [(b - a, frame_of(*made[a, b], b - a, first + a, bits, True)) for a, b in flac_search.halves(x.shape[1], size, how.split)]
+
+
+def stream_info(size: int, frames: list[int], rate: int, channels: int, bits: int, samples: int, md5: bytes, least: int | None = None) -> bytes:
+    """size, least: the largest block, and the smallest of all but the last."""
     tail = rate << 44 | channels - 1 << 41 | bits - 1 << 36 | samples
-    return size.to_bytes(2, "big") * 2 + min(frames).to_bytes(3, "big") + max(frames).to_bytes(3, "big") + tail.to_bytes(8, "big") + md5
+    return (least or size).to_bytes(2, "big") + size.to_bytes(2, "big") + min(frames).to_bytes(3, "big") + max(frames).to_bytes(3, "big") + tail.to_bytes(8, "big") + md5
 
 
 def pcm(x: np.ndarray, bits: int) -> bytes:
@@ -357,10 +393,11 @@ def frame_header(raw: bytes, at: int) -> tuple[int, bool, int] | None:
     for b in raw[here : here + max(0, more - 1)]:
         number = number << 6 | b & 63
     here += max(0, more - 1)
-    n = 192 if size == 1 else 576 << size - 2 if size <= 5 else 256 << size - 8
     if size in (6, 7):
         n = int.from_bytes(raw[here : here + size - 5], "big") + 1
         here += size - 5
+    else:
+        n = 192 if size == 1 else 576 << size - 2 if size <= 5 else 256 << size - 8
     here += {12: 1, 13: 2, 14: 2}.get(rate, 0)
     if here >= len(raw) or raw[here] != crc(raw[at:here], CRC8, 8):
         return None
@@ -472,10 +509,11 @@ def validate(info: Info, samples: int, md5: bytes) -> None:
 # ---- on the cluster
 
 
-def frames(df: DataFrame, *, size: int = 4096, bits: int = 16, channels: tuple[str, ...] = ("q",), in_order: bool = False) -> DataFrame:
+def frames(df: DataFrame, *, size: int = 4096, bits: int = 16, channels: tuple[str, ...] = ("q",), in_order: bool = False, how: flac_search.Preset = flac_search.Preset()) -> DataFrame:
     """sid, idx and a column for each channel -> sid, block, n, frame, pcm. Samples meet
     by stream and block; places in a stream have no gaps. in_order sorts the blocks before
-    they are coded, so that the sort's sampling codes nothing twice."""
+    they are coded, so that the sort's sampling codes nothing twice. With how.split a block
+    may be several rows, numbered in their order."""
     rows = df.groupBy("sid", F.floor(F.col("idx") / size).alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", *channels))).alias("s"))
     rows = rows.select("sid", "block", *[F.col(f"s.{c}").cast("array<long>").alias(f"c{i}") for i, c in enumerate(channels)])
     rows = rows.orderBy("sid", "block") if in_order else rows
@@ -484,9 +522,18 @@ def frames(df: DataFrame, *, size: int = 4096, bits: int = 16, channels: tuple[s
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
-                made = [np.array(x, np.int64) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
-                coded = [encode_frame(x, k, bits) for x, k in zip(made, b.column(1).to_pylist(), strict=True)]
-                yield pa.record_batch([b.column(0), b.column(1), pa.array([x.shape[1] for x in made], pa.int64()), pa.array(coded, pa.binary()), pa.array([pcm(x, bits) for x in made], pa.binary())], names=["sid", "block", "n", "frame", "pcm"])
+                out: list[tuple] = []
+                for sid, k, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    x = np.array(x, np.int64)
+                    if not how.split:
+                        out.append((sid, k, x.shape[1], encode_frame(x, k, bits, how), pcm(x, bits)))
+                        continue
+                    here = 0
+                    for i, (n, raw) in enumerate(encode_block(x, k * size, bits, how)):
+                        out.append((sid, k << how.split | i, n, raw, pcm(x[:, here : here + n], bits)))
+                        here += n
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["sid", "block", "n", "frame", "pcm"])
 
     return rows.mapInArrow(run, "sid long, block long, n long, frame binary, pcm binary")
 
@@ -496,10 +543,10 @@ def files(coded: DataFrame, *, size: int = 4096, rate: int = 44100, bits: int =
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
-        own, digest = t["frame"].to_pylist(), hashlib.md5(usedforsecurity=False)
+        own, digest, n = t["frame"].to_pylist(), hashlib.md5(usedforsecurity=False), t["n"].to_pylist()
         for x in t["pcm"].to_pylist():
             digest.update(x)
-        info = stream_info(size, list(map(len, own)), rate, channels, bits, sum(t["n"].to_pylist()), digest.digest())
+        info = stream_info(max(size, *n), list(map(len, own)), rate, channels, bits, sum(n), digest.digest(), min(n[:-1], default=size))
         return pa.table({"sid": t["sid"].slice(0, 1), "content": pa.array([b"fLaC\x80\0\0\x22" + info + b"".join(own)], pa.binary())})
 
     return coded.groupBy("sid").applyInArrow(run, "sid long, content binary")
