@@ -26,7 +26,7 @@ PRIOR, DRIFT = 1.0, 1.5
 #: Bins of word scores, and of the texts' evidence, on either side of 0.
 STEP, BINS = 0.05, 400
 #: Words whose scores a worker keeps, for each class; and texts that it holds at a time.
-MOST_KNOWN, TEXTS = 150_000, 500
+MOST_KNOWN, TEXTS = 250_000, 500
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -35,10 +35,10 @@ def features(word: str) -> tuple[str, ...]:
     return ("^" + w[:PREFIX], w) if len(w) > PREFIX else (w,) if w else ()
 
 
-def places(feature: str) -> list[int]:
-    """Its place in each hashing."""
-    raw = feature.encode()
-    return [xxhash.xxh64_intdigest(raw, row) & (1 << BITS) - 1 for row in range(ROWS)]
+def places(found: list[str]) -> np.ndarray:
+    """A row for each feature: its place in each hashing, halves of one digest."""
+    raw = b"".join([xxhash.xxh3_128_digest(f.encode()) for f in found])
+    return (np.frombuffer(raw, "<u8").reshape(-1, ROWS) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -79,38 +79,47 @@ class Model:
 
     def __post_init__(self) -> None:
         self.known: dict[int, dict[str, float]] = {-1: {}, 0: {}, 1: {}}
-        self.tables: list[tuple[memoryview, memoryview]] = []
+        self.begun: dict[int, dict[str, float]] = {-1: {}, 0: {}, 1: {}}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "tables")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "begun")}
 
     def __setstate__(self, own: dict) -> None:
         self.__dict__.update(own)
         self.__post_init__()
 
-    def word(self, raw: str, own: int = -1) -> float:
-        """Log-odds of the word less DRIFT. Its share of toxic texts has a Dirichlet prior
-        of PRIOR texts with the share of its beginning, whose prior is the share of all
-        texts; of several hashings the least count holds. A text that was counted itself,
-        as class `own`, is left out."""
-        if not self.tables:
-            self.tables = [(memoryview(self.counts[0, r]), memoryview(self.counts[1, r])) for r in range(ROWS)]
-        toxic, clean = self.texts
-        share = base = toxic / (toxic + clean)
-        for f in features(raw):
-            at = places(f)
-            t = max(0, min(x[0][k] for x, k in zip(self.tables, at, strict=True)) - (own == 1))
-            c = max(0, min(x[1][k] for x, k in zip(self.tables, at, strict=True)) - (own == 0))
-            share = (t + PRIOR * share) / (t + c + PRIOR)
-        return log(share / (1 - share) * (1 - base) / base) - DRIFT
+    def shares(self, found: list[str], parent: np.ndarray | float, own: int) -> np.ndarray:
+        """The share of toxic texts among those with each feature, with a Dirichlet prior of
+        PRIOR texts with the parent's share; of several hashings the least count holds."""
+        at = places(found)
+        t, c = (np.minimum.reduce([self.counts[k, row, at[:, row]] for row in range(ROWS)]) for k in (0, 1))
+        t, c = np.maximum(t - (own == 1), 0), np.maximum(c - (own == 0), 0)
+        return (t + PRIOR * parent) / (t + c + PRIOR)
+
+    def learn(self, words: list[str], own: int) -> None:
+        """Log-odds of new words less DRIFT: a word's share has a prior from its beginning,
+        whose prior is the share of all texts. A text that was counted itself, as class
+        `own`, is left out."""
+        base = self.texts[0] / sum(self.texts)
+        begun, plain = self.begun[own], [w.strip(EDGE) for w in words]
+        heads = [w[:PREFIX] if len(w) > PREFIX else "" for w in plain]
+        if len(begun) > MOST_KNOWN:
+            begun.clear()
+        begun[""] = base
+        if new := list(set(heads).difference(begun)):
+            begun.update(zip(new, self.shares(["^" + h for h in new], base, own).tolist(), strict=True))
+        share = self.shares(plain, np.fromiter(map(begun.__getitem__, heads), np.float64, len(heads)), own)
+        share = np.where([not w for w in plain], base, share)
+        odds = np.log(share / (1 - share) * (1 - base) / base) - DRIFT
+        self.known[own].update(zip(words, odds.tolist(), strict=True))
 
     def scan(self, text: str, own: int = -1) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
         """Word scores and maximal segments; without a positive score the best word."""
         words, known = WORDS.findall(text.lower()), self.known[own]
         if len(known) > MOST_KNOWN:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.word(w, own)
+        if new := list(set(words).difference(known)):
+            self.learn(new, own)
         scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         found = segments(scores)
         if not found and len(scores):
@@ -181,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 40_000) -> Mod
             for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n[toxic] += 1
                 found = {f for w in set(WORDS.findall(text.lower())) for f in features(w)}
-                for row, at in enumerate(zip(*map(places, found), strict=True)):
-                    np.add.at(tables[toxic], np.array(at) + (row << BITS), 1)
+                if found:
+                    np.add.at(tables[toxic], (places(list(found)) + (np.arange(ROWS) << BITS)).ravel(), 1)
         at = np.flatnonzero(tables.any(axis=0))
         yield pa.record_batch([pa.array(np.r_[at, -1]), pa.array(np.r_[tables[1][at], n[1]].astype(np.int64)), pa.array(np.r_[tables[0][at], n[0]].astype(np.int64))], names=["place", "toxic", "clean"])
 
