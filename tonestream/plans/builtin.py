@@ -71,7 +71,7 @@ def plugins() -> tuple[c.Plugin, ...]:
     @c.plugin("flac", c.Component("prober", "flac", nothing, probe=flac_probe), c.Component("demuxer", "flac", convert.read), c.Component("decoder", "flac", convert.read, codecs=("flac",)), c.Component("encoder", "flac", convert.coded, capability=FLAC_IN, codecs=("flac",)), c.Component("muxer", "flac", convert.write, codecs=("flac",), extensions=(".flac",)))
     class Flac: ...
 
-    @c.plugin("mpeg", c.Component("prober", "mp3", nothing, probe=mp3_probe), c.Component("demuxer", "mp3", mpeg.packets))
+    @c.plugin("mpeg", c.Component("prober", "mp3", nothing, probe=mp3_probe), c.Component("demuxer", "mp3", mpeg.packets), c.Component("decoder", "mp3", convert.read, codecs=("mp3",)))
     class Mpeg: ...
 
     pcm = [c.Component("decoder", n, convert.read, codecs=(n,)) for n in convert.WAVE_TAGS]

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import companding, levels, text
 from ..operators import filters, ima_adpcm, ms_adpcm, state
-from ..sources import flac, flac_meta, flac_search, tags, wav
+from ..sources import flac, flac_meta, flac_search, mpeg, mpeg_decode, tags, wav
 from . import negotiate
 from .diagnostics import Problems
 
@@ -72,8 +73,20 @@ def layout(name: str) -> list[str]:
 # ---- reading
 
 
-def samples_of(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """First place, and values as channels by samples, of each piece of a file."""
+@lru_cache(4)
+def mpeg_tables(path: str) -> mpeg_decode.Tables:
+    return mpeg_decode.load(path)
+
+
+def is_mpeg(raw: bytes) -> bool:
+    """Whether a frame of MPEG audio is found, and no FLAC marker behind leading tags."""
+    start, stop = tags.bounds(raw)
+    return raw[start : start + 4] != b"fLaC" and next(mpeg.scan(raw, start, stop), None) is not None
+
+
+def samples_of(raw: bytes, mpeg_tables_: str = "") -> Iterator[tuple[int, np.ndarray]]:
+    """First place, and values as channels by samples, of each piece of a file. MPEG audio
+    is decoded by the tables at a path, which the caller has."""
     if raw[:4] in (b"RIFF", b"RF64"):
         h = wav.parse(raw)
         if h.codec in wav.ADPCM:
@@ -100,6 +113,14 @@ def samples_of(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
                 x = (x.astype(np.float64) - (128 if width == 1 else 0)) / 2.0 ** (full - 1)
             yield at // h.align, x.astype(np.float64).reshape(-1, h.channels).T
         return
+    if raw[:4] != b"fLaC" and is_mpeg(raw):
+        if not mpeg_tables_:
+            raise ConversionError("decoder", "no-tables", "MPEG audio needs the standard's tables, as mpeg_decode.load() describes")
+        at = 0
+        for x in mpeg_decode.decode(raw, mpeg_tables(mpeg_tables_)):
+            yield at, x
+            at += x.shape[1]
+        return
     info, at = flac.parse(raw), 0
     for x in flac.read_frames(raw):
         yield at, x / 2.0 ** (info.bits - 1)
@@ -112,6 +133,9 @@ def describe(raw: bytes) -> tuple[Profile, tags.Bundle]:
         h = wav.parse(raw)
         b = tags.parse_info(h.chunks.get("LIST", b""))
         return Profile(h.rate, h.channels, 16 if h.codec in ("alaw", "ulaw", *wav.ADPCM) else min(h.bits, 24), h.codec), tags.merge(b, tags.parse(h.chunks.get("id3 ", b"")))
+    if raw[:4] != b"fLaC" and is_mpeg(raw):
+        i = mpeg.analyze(raw)
+        return Profile(i.rate, i.channels, 16, "mp3"), tags.parse(raw)
     try:
         i = flac.parse(raw)
     except ValueError as e:
@@ -119,7 +143,7 @@ def describe(raw: bytes) -> tuple[Profile, tags.Bundle]:
     return Profile(i.rate, i.channels, i.bits, "flac"), flac_meta.parse(raw)
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, Profile, tags.Bundle]:
+def read(spark: SparkSession, path: str, mpeg_tables_: str = "") -> tuple[DataFrame, Profile, tags.Bundle]:
     """The samples of one file, its profile and tags. Executors read the file themselves."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -147,7 +171,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, Profile, tags.Bundl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0).to_pylist():
-                for at, x in samples_of(raw):
+                for at, x in samples_of(raw, mpeg_tables_):
                     c, n = x.shape
                     yield pa.record_batch([pa.array(np.zeros(c * n, np.int64)), pa.array(np.repeat(np.arange(c, dtype=np.int32), n)), pa.array(np.tile(np.arange(at, at + n), c)), pa.array(x.ravel())], names=["sid", "ch", "idx", "v"])
 
@@ -366,6 +390,7 @@ class Spec:
     wires: tuple[str, ...] = ()
     codec: str = ""
     level: int = 12
+    mpeg_tables: str = ""
 
     @property
     def extension(self) -> str:
@@ -437,11 +462,11 @@ def build(spark: SparkSession, spec: Spec, catalog: Any = None) -> Plan:
     except Problems as e:
         raise ConversionError("resolver", e.items[0].code, str(e)) from e
     wired = wiring(spec, [n for n, _ in chain])
-    df, source, bundle = read(spark, spec.input)
+    df, source, bundle = read(spark, spec.input, spec.mpeg_tables)
     p, steps = source, []
     for name, values in chain:
         if name in JOINERS:
-            ports = {port: read(spark, path)[:2] for port, path in wired.get(name, {}).items()}
+            ports = {port: read(spark, path, spec.mpeg_tables)[:2] for port, path in wired.get(name, {}).items()}
             df, p = JOINERS[name][1](df, p, values, ports)
         else:
             df, p = FILTERS[name][1](df, p, values)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import layouts, levels, pcm, text, timebase
 from ..model import samples, table
 from ..operators import filters, joins, spectrum, state
-from ..sources import flac, tags, wav
+from ..sources import flac, mpeg_decode, tags, wav
 from . import builtin, config, engines, negotiate, observe, registry
 from . import catalog as c
 from .diagnostics import Problems
@@ -346,7 +346,7 @@ def accepted(spark: SparkSession, d: str) -> DataFrame:
     return c.resolved(table(spark, d, "events").select("event_id", codec.alias("codec")), "codec", builtin.catalog().registry)
 
 
-@query("catalog_components", "SELECT * FROM (VALUES ('decoder', 7), ('demuxer', 3), ('encoder', 7), ('filter', 16), ('muxer', 2), ('prober', 3)) t(kind, n)")
+@query("catalog_components", "SELECT * FROM (VALUES ('decoder', 8), ('demuxer', 3), ('encoder', 7), ('filter', 16), ('muxer', 2), ('prober', 3)) t(kind, n)")
 def catalog_components(spark: SparkSession, d: str) -> DataFrame:
     return builtin.catalog().frame(spark).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
@@ -598,3 +598,56 @@ def suite_rollup(spark: SparkSession, d: str) -> DataFrame:
 def format_sizes(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_partkey") * F.col("p_partkey") * F.col("p_partkey") * 3 + 1
     return table(spark, d, "part").select("p_partkey", observe.bytes_column(n).alias("size"))
+
+
+# ---- MPEG decoding, step by step
+
+
+@query("mp3_requantize", f"WITH {Q16}, g AS (SELECT sid, idx, q % 100 AS q, 190 + idx % 40 AS gain, idx % 576 // 30 AS band FROM q) SELECT sid, idx, round(sign(q) * power(abs(q), 4.0::DOUBLE / 3) * power(2.0::DOUBLE, (gain - 210) / 4.0::DOUBLE - 0.5 * (band % 4)), 6) + 0 AS v FROM g")
+def mp3_requantize(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of layer III by their global gain and scale factors."""
+    q = registry.quantized(spark, d).select("sid", "idx", (F.col("q") % 100).alias("q"))
+    edges = list(range(0, 571, 30)) + [576, 576, 576]
+
+    def f(sid: int, rows: list[dict]) -> list[tuple]:
+        out = []
+        for r in rows:
+            lines = np.zeros(576, np.int64)
+            at = r["idx"] % 576
+            lines[at] = r["q"]
+            g = mpeg_decode.Granule(0, 0, 190 + r["idx"] % 40, 0)
+            v = mpeg_decode.requantized(lines, g, np.arange(22) % 4, edges, edges)[at]
+            out.append((sid, r["idx"], round(float(v), 6) + 0.0))
+        return out
+
+    return grouped(q, ["sid"], ["idx", "q"], f, "sid long, idx long, v double")
+
+
+_IM = f"WITH {_EM}, x AS (SELECT sid, idx AS k, v FROM e WHERE idx < 18), i AS (SELECT range AS i FROM range(36))"
+
+
+@query("mp3_imdct_long", f"{_IM} SELECT sid, i AS idx, round(sum(v * cos(pi() / 72 * (2 * i + 19) * (2 * k + 1))) * sin(pi() / 36 * (i + 0.5)), 6) + 0 AS v FROM x, i GROUP BY sid, i")
+def mp3_imdct_long(spark: SparkSession, d: str) -> DataFrame:
+    return imdct_of(spark, d, 0)
+
+
+@query("mp3_imdct_short", f"WITH {_EM}, x AS (SELECT sid, idx % 3 AS w, idx // 3 AS k, v FROM e WHERE idx < 18), i AS (SELECT range AS i FROM range(12)), y AS (SELECT sid, 6 + 6 * w + i AS idx, sum(v * cos(pi() / 24 * (2 * i + 7) * (2 * k + 1))) * sin(pi() / 12 * (i + 0.5)) AS v FROM x, i GROUP BY sid, w, i), a AS (SELECT DISTINCT sid, range AS idx FROM e, range(36)) SELECT a.sid, a.idx, round(coalesce(sum(v), 0), 6) + 0 AS v FROM a LEFT JOIN y USING (sid, idx) GROUP BY a.sid, a.idx")
+def mp3_imdct_short(spark: SparkSession, d: str) -> DataFrame:
+    return imdct_of(spark, d, 2)
+
+
+def imdct_of(spark: SparkSession, d: str, block: int) -> DataFrame:
+    f = lambda sid, x: (sid, [round(float(v), 6) + 0.0 for v in mpeg_decode.imdct(np.array(x[:18]), block)])
+    return each_row(frames(spark, d), f, "sid long, y array<double>").select("sid", F.posexplode("y").alias("idx", "v")).select("sid", F.col("idx").cast("long").alias("idx"), "v")
+
+
+@query("mp3_synthesis", f"WITH {_EM}, s AS (SELECT sid, idx // 32 AS t, idx % 32 AS k, v FROM e), i AS (SELECT range AS i FROM range(64)), v AS (SELECT sid, t, i, sum(v * cos((16 + i) * (2 * k + 1) * pi() / 64)) AS v FROM s, i GROUP BY sid, t, i), o AS (SELECT a.sid, a.t * 32 + a.i AS idx, a.v * (a.i + 1) / 512.0::DOUBLE + coalesce(b.v, 0) * (a.i + 33) / 512.0::DOUBLE AS v FROM v a LEFT JOIN v b ON b.sid = a.sid AND b.t = a.t - 1 AND b.i = a.i + 32 WHERE a.i < 32) SELECT sid, CAST(idx AS BIGINT) AS idx, round(v, 6) + 0 AS v FROM o")
+def mp3_synthesis(spark: SparkSession, d: str) -> DataFrame:
+    """Two slots of 32 bands through the filter bank, with a window of (n + 1) / 512."""
+    ramp = np.arange(1, 513) / 512
+
+    def f(sid: int, x: list) -> tuple:
+        y, _ = mpeg_decode.synthesize(np.array(x).reshape(2, 32), ramp, np.zeros((15, 64)))
+        return sid, [round(float(v), 6) + 0.0 for v in y]
+
+    return each_row(frames(spark, d), f, "sid long, y array<double>").select("sid", F.posexplode("y").alias("idx", "v")).select("sid", F.col("idx").cast("long").alias("idx"), "v")
