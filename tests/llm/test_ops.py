@@ -350,6 +350,160 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.toxicity(docs, marks.filter("toxic = 0")).collect()} == {0.0}
 
 
+# ---- borders of blocks: in process, where the constants can be made small
+
+
+def test_quality_over_block_borders(monkeypatch):
+    rng = random.Random(9)
+    docs_ = [[rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 60))] for _ in range(40)]
+    one = [quality.judge_block([d], 4) for d in docs_]
+    whole_ = quality.judge_block(docs_, 4)
+    for k in range(3):
+        assert np.concatenate([o[k] for o in one]).tolist() == whole_[k].tolist()
+
+
+def test_quality_verdict_by_brute_force(spark):
+    """kept at the defaults: repeats of five words or more, covered share, longest one."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(40, 300))]
+        for _ in range(rng.randint(0, 4)):
+            a = rng.randrange(len(base))
+            base += base[a : a + rng.randint(3, 130)]
+        rows.append((i, " ".join(base)))
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    verdicts = set()
+    for i, t in rows:
+        words = t.split()
+        n, best = len(words), [0] * len(words)
+        for a in range(n):
+            for b in range(a + 1, n):
+                k = 0
+                while b + k < n and words[a + k] == words[b + k]:
+                    k += 1
+                best[a], best[b] = max(best[a], k), max(best[b], k)
+        hit = np.zeros(n, bool)
+        for a, k in enumerate(best):
+            if k >= 5:
+                hit[a : a + k] = True
+        failed = n < 50 or 100 * windows(words, 3) > 50 * n
+        want = not failed and hit.sum() <= 0.2 * n and max(best) <= 100
+        assert (got[i].n_covered_words, got[i].longest_repeat, got[i].base_failed, got[i].kept) == (hit.sum(), max(best), failed, want)
+        verdicts.add((failed, want))
+    assert len(verdicts) == 3
+
+
+def test_fingerprints_over_block_borders(monkeypatch):
+    hashes = [simhash.shingle_hashes(t or "", 3, 42) for t in SOME]
+    want = simhash.majority(hashes)
+    for block in (1, 7, 100):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert (simhash.majority(hashes) == want).all()
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = int(rng.integers(0, 2**63))
+    fps = {centre}
+    for _ in range(300):
+        fps.add(centre ^ sum(1 << int(b) for b in rng.choice(40, rng.integers(1, 7), replace=False)))
+    fps = sorted(x - (1 << 64) if x >= 1 << 63 else x for x in fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    root = {x: x for x in fps}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    for crowd in (20_000, 5):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+        assert {x: got.get(x, x) for x in fps} == root
+
+
+def test_token_counts_over_memory_borders(monkeypatch):
+    from tonestream.llm import token_counts as tc
+    from tonestream.llm import tokens
+
+    texts = [t or "" for t in SOME]
+    want = [len(ids(t)) for t in texts]
+    for most in (2, 9, 40):
+        monkeypatch.setattr(tokens, "MOST", most)
+        monkeypatch.setattr(tc, "MOST", most)
+        assert tc.Counting(PATH).counts(texts) == want
+        chunks = tokens.Chunks(PATH)
+        assert [len(chunks.ids(t)) // 4 for t in texts] == want
+
+
+def test_stretches_over_block_borders(monkeypatch):
+    import pyarrow as pa
+
+    texts = [t or "" for t in SOME]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["u", "v", "text"])
+    rows = lambda: sorted(tuple(r.values()) for b in suffix_dedup.find_stretches(iter([batch]), 200) for r in b.to_pylist())
+    want = rows()
+    for block in (1, 5000):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        assert rows() == want
+
+
+def test_sorted_groups_over_block_borders(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    groups = []
+    for h in range(30):
+        core = bytes(rng.choices(b"abcd", k=260))
+        for c in range(rng.randint(1, 4)):
+            data = core[rng.randint(0, 20) :] + bytes(rng.choices(b"xy", k=rng.randint(0, 40)))
+            key = int(np.min(suffix_dedup.gram_hashes(np.frombuffer(core[60:200], np.uint8)).view(np.int64)))
+            groups.append((key, c, len(data) - 199, data))
+    groups.sort(key=lambda g: g[0])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    batch = pa.record_batch([pa.array([g[i] for g in groups], t) for i, t in enumerate(kinds)], names=["h", "c", "r", "data"])
+    rows = lambda: sorted(tuple(r.values()) for b in suffix_dedup.sort_groups(iter([batch]), 200) for r in b.to_pylist())
+    want = rows()
+    for size in (300, 3000):
+        monkeypatch.setattr(suffix_dedup, "TEXT", size)
+        assert rows() == want
+
+
+def test_simhash_with_null_and_repeated_ids_and_clashes(spark):
+    rows = [(None, "same words here and there"), (7, "same words here and there"), (7, "other text of its own kind"), (None, None), (3, None), (None, "no id at all in this one")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "doc_id long, text string, fp int, key int, n int, component_id string")
+    got = collections.Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect())
+    by = {t: next(f for i, f, c in got if c == w) for t, w in ((None, 3),)}
+    assert by[None] == "0" * 16 and sum(got.values()) == len(rows)
+    assert {c for i, f, c in got if f == by[None]} == {3} and {c for i, f, c in got if i == 7} == {7}
+    assert [c for i, f, c in got if i is None and f != by[None]].count(None) == 1
+
+
+def test_operators_with_clashing_columns(spark):
+    names = "score int, predicted int, digest int, payload int, last int, n int, words int, url string, html string, page_id long"
+    rows = [(1, "a b", 1, 2, 3, 4, 5, 6, 7, "u", "<p>x</p>", 1), (2, None, 1, 2, 3, 4, 5, 6, 7, None, None, None)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+    marks = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(df, marks).count() == 2 and sorted(r.doc_id for r in toxicity.kept(df, marks.filter("toxic = 0")).collect()) == [1, 2]
+    assert warc.round_trip(df).count() == 2 and html.main_text(df).count() == 2
+    assert token_counts.count_tokens(df, PATH).count() == quality.quality(df).count() == 2 and packing.pack(df, PATH).count() >= 2
+    assert suffix_dedup.remove_repeats(df).count() == simhash.near_duplicates(df).count() == exact_dedup.exact_dedup(df).count() == 2
+
+
+def test_toxicity_ties_and_one_class(spark):
+    docs_ = spark.createDataFrame([(i, "same text") for i in range(20)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert len({r.score for r in toxicity.toxicity(docs_, marks).collect()}) == 1
+    assert {r.score for r in toxicity.toxicity(docs_, marks.withColumn("toxic", F.lit(1))).collect()} == {0.0}
+
+
+def test_warc_with_one_payload_in_most_rows(spark):
+    same = "<p>not found</p>" * 100
+    rows = [(i, f"u{i}", same if i % 3 else f"own {i} " * 200) for i in range(300)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == 300 and sum(r.record_type == "revisit" for r in got) == 199 and {r.refers_to for r in got} == {None, 299}
+
+
 PAGE = '<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use</div><article><h1>Head &amp; all</h1><p>One <b>bo</b>ld<br>two<p>three<div class="comments">me too</div></article><aside>side</aside><form>f</form><footer>end</footer>'
 
 
