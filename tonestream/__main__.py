@@ -8,7 +8,8 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .plans import convert
+from .plans import builtin, convert, observe
+from .plans.diagnostics import Problems
 
 
 def main(args: list[str] | None = None) -> int:
@@ -23,31 +24,46 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("-f", "--force", action="store_true", help="overwrite the output")
     c.add_argument("--dry-run", action="store_true", help="resolve and explain, write nothing")
     c.add_argument("--metrics", action="store_true", help="report samples, bytes and time")
-    commands.add_parser("list", help="formats and filters")
-    d = commands.add_parser("describe", help="settings of a filter")
+    c.add_argument("--codec", default="", help="codec of the output: lpcm, float, alaw, ulaw, ms-adpcm, ima-adpcm or flac")
+    c.add_argument("--level", type=int, default=12, help="FLAC's search, 0 to 23")
+    c.add_argument("--mpeg-tables", default="", help="JSON file with the tables that MPEG audio needs")
+    c.add_argument("--progress", choices=("auto", "always", "never"), default="auto")
+    commands.add_parser("list", help="formats, filters and codecs")
+    d = commands.add_parser("describe", help="settings of a filter, or another component as KIND/NAME")
     d.add_argument("name")
     o = parser.parse_args(args)
     try:
         if o.command == "list":
+            registry = builtin.catalog().registry
             print("formats:", *sorted({f for f, _ in convert.FORMATS.values()}))
-            print("filters:", *sorted(convert.FILTERS | convert.JOINERS))
+            for kind in ("filter", "decoder", "encoder"):
+                print(f"{kind}s:", *[x.name for x in registry.enumerate(kind)])
         elif o.command == "describe":
-            known = convert.FILTERS | convert.JOINERS
-            if o.name not in known:
-                raise convert.ConversionError("resolver", "unknown-filter", f"no filter {o.name!r}")
-            for k, v in known[o.name][0].items():
-                print(f"{k}\t{type(v).__name__}\t{v}")
+            kind, _, name = o.name.rpartition("/")
+            try:
+                about = builtin.catalog().describe(kind or "filter", name)
+            except Problems as e:
+                raise convert.ConversionError("resolver", e.items[0].code, str(e)) from e
+            for f in about["fields"]:
+                print("\t".join(str(f[k]) for k in ("name", "type", "default")))
         else:
             spark = SparkSession.builder.appName("tonestream").getOrCreate()
             spark.sparkContext.setLogLevel("ERROR")
-            spec = convert.Spec(o.input, o.output, tuple(o.filter), o.force, tuple(tuple(i.split("=", 1)) for i in o.inputs if "=" in i), tuple(o.wire))
+            spec = convert.Spec(o.input, o.output, tuple(o.filter), o.force, tuple(tuple(i.split("=", 1)) for i in o.inputs if "=" in i), tuple(o.wire), o.codec, o.level, o.mpeg_tables)
             if o.dry_run:
                 print(convert.build(spark, spec).explain())
                 return 0
-            start, counts = time.time(), [0, 0]
-            convert.write(convert.build(spark, spec), lambda n, size: counts.__setitem__(slice(None), [n, size]))
+            start, counts, line = time.time(), [0, 0], observe.Progress(o.progress)
+            plan = convert.build(spark, spec)
+
+            def seen(n: int, size: int) -> None:
+                counts[:] = n, size
+                line.update(n / plan.result.rate, None, time.time() - start)
+
+            convert.write(plan, seen)
+            line.update(counts[0] / plan.result.rate, counts[0] / plan.result.rate, time.time() - start, final=True)
             if o.metrics:
-                print(f"{counts[0]} samples, {counts[1]} bytes, {time.time() - start:.2f} s", file=sys.stderr)
+                print(f"{counts[0]} samples, {observe.format_bytes(counts[1])}, {observe.format_duration(time.time() - start)}", file=sys.stderr)
     except convert.ConversionError as e:
         print(f"{e} ({e.code})", file=sys.stderr)
         return 1

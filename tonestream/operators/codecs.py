@@ -30,9 +30,9 @@ def residuals(df: DataFrame, v: str = "q") -> DataFrame:
 def best_fixed_order(df: DataFrame, v: str = "q") -> DataFrame:
     """Per stream the order with the least sum of folded residuals behind the fourth
     sample, sampled with a stride beyond 512 samples; the lower order wins ties."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("sid"))
-    stride = F.greatest(F.lit(1), F.floor((n - 4) / 512))
-    r = residuals(df, v).withColumn("stride", stride).filter("idx >= 4 and (idx - 4) % stride = 0")
+    sized = df.join(df.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), "sid")
+    stride = F.greatest(F.lit(1), F.floor((F.col("n") - 4) / 512))
+    r = residuals(sized, v).withColumn("stride", stride).filter("idx >= 4 and (idx - 4) % stride = 0")
     cost = r.groupBy("sid").agg(*[F.sum(zigzag(F.col(f"r{k}"))).alias(f"c{k}") for k in range(5)])
     pairs = cost.select("sid", F.explode(F.array(*[F.struct(F.col(f"c{k}").alias("cost"), F.lit(k).alias("fixed_order")) for k in range(5)])).alias("p"))
     return pairs.groupBy("sid").agg(F.min("p").alias("p")).select("sid", "p.fixed_order", "p.cost")

@@ -14,10 +14,6 @@ from ..functions.levels import amp
 from . import state
 
 
-def stream() -> WindowSpec:
-    return Window.partitionBy("sid")
-
-
 def ordered() -> WindowSpec:
     return Window.partitionBy("sid").orderBy("idx")
 
@@ -133,8 +129,9 @@ def clamp_l1(values: str) -> F.Column:
 def resample(df: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
     """Linear interpolation in integer time: output k lies at k * in / out; the tail repeats
     the last sample up to the rounded length."""
-    nxt, n = F.lead("v").over(ordered()), F.count(F.lit(1)).over(stream())
-    s = df.select("sid", "idx", "v", nxt.alias("nxt"), n.alias("n"))
+    # lengths are joined back: a window over the whole stream would hold it
+    s = df.select("sid", "idx", "v").join(df.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), "sid")
+    s = s.select("sid", "idx", "v", F.lead("v").over(ordered()).alias("nxt"), "n")
     first = F.expr(f"(idx * {rate_out}L + {rate_in - 1}L) div {rate_in}L")
     stop = F.expr(f"((idx + 1) * {rate_out}L + {rate_in - 1}L) div {rate_in}L - 1")
     last = F.expr(f"(n * {rate_out}L + {rate_in // 2}L) div {rate_in}L - 1")

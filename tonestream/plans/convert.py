@@ -22,7 +22,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import companding, levels, text
@@ -598,7 +598,7 @@ class Job:
     def __init__(self, spark: SparkSession, spec: Spec) -> None:
         self.spark, self.spec, self.group = spark, spec, f"convert-{uuid.uuid4().hex}"
         self.status, self.error, self.samples, self.bytes = "running", None, 0, 0
-        self.started, self.finished = time.time(), None
+        self.started, self.finished, self.rate = time.time(), None, None
         self._cancel, self._lock = threading.Event(), threading.Lock()
         self._thread = InheritableThread(target=self._run, daemon=True)
         self._thread.start()
@@ -613,6 +613,7 @@ class Job:
         try:
             self.spark.sparkContext.setJobGroup(self.group, f"convert {self.spec.input}", interruptOnCancel=True)
             plan = build(self.spark, self.spec)
+            self.rate = plan.result.rate
             self._seen(0, 0)
             write(plan, self._seen)
         except BaseException as e:  # noqa: BLE001 - reported by result()
@@ -630,7 +631,8 @@ class Job:
 
     def snapshot(self) -> dict[str, Any]:
         elapsed = (self.finished or time.time()) - self.started
-        return {"status": self.status, "samples": self.samples, "bytes": self.bytes, "elapsed": elapsed, "error": str(self.error) if self.error else None}
+        rate = self.rate or 0
+        return {"seconds": self.samples / rate if rate else 0.0, "speed": self.samples / rate / elapsed if rate and elapsed > 0 else -1.0, "status": self.status, "samples": self.samples, "bytes": self.bytes, "elapsed": elapsed, "error": str(self.error) if self.error else None}
 
     def result(self, timeout: float | None = None) -> None:
         """Waits; raises what went wrong."""
