@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tonestream.llm import exact_dedup, html, mixing, near, packing, quality, simhash, suffix_dedup, token_counts, toxicity, warc
+from tonestream.llm import common, exact_dedup, html, mixing, near, packing, quality, simhash, suffix_dedup, token_counts, toxicity, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,7 +121,9 @@ def test_mixing_stage_without_single_ids(spark):
     assert collections.Counter((r.doc_id, hashlib.md5(r.text.encode()).hexdigest()) for r in got.collect()) == +want
 
 
-def test_exact_dedup(docs, none):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_exact_dedup(docs, none, small, monkeypatch):
+    monkeypatch.setattr(common, "SMALL", small)
     plain = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
     rows = exact_dedup.exact_dedup(docs).collect()
     groups = collections.defaultdict(list)
@@ -199,6 +201,7 @@ def test_stages_with_clashing_columns_and_awkward_rows(spark, none):
 @pytest.mark.parametrize("crowd", [2, 20_000])
 def test_suffix_dedup(spark, docs, none, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(common, "SMALL", 0 if crowd == 2 else 10_000)
     seen = collections.Counter()
     raws = [(i, (t or "").encode()) for i, t, *_ in ROWS]
     for _, b in raws:
@@ -416,8 +419,9 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
             if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 and root[a] != root[b]:
                 lo, hi = sorted((root[a], root[b]))
                 root = {k: lo if v == hi else v for k, v in root.items()}
-    for crowd in (20_000, 5):
+    for crowd, small in ((20_000, 10_000), (5, 0)):
         monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(common, "SMALL", small)
         got = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
         assert {x: got.get(x, x) for x in fps} == root
 
@@ -497,7 +501,8 @@ def test_toxicity_ties_and_one_class(spark):
     assert {r.score for r in toxicity.toxicity(docs_, marks.withColumn("toxic", F.lit(1))).collect()} == {0.0}
 
 
-def test_warc_with_one_payload_in_most_rows(spark):
+def test_warc_with_one_payload_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL", 0)
     same = "<p>not found</p>" * 100
     rows = [(i, f"u{i}", same if i % 3 else f"own {i} " * 200) for i in range(300)]
     got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()

@@ -65,14 +65,21 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows that a single task may well hold, so that none of their keys can be hot.
+SMALL = 10_000
+
+
 def join_skewed(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, most: int = 1000, how: str = "inner") -> DataFrame:
     """Inner or left join of rows with groups, which has one row per key and the key's
     number of rows in `size`.
 
     Keys that hold more than 1/most of all `total` rows are at most `most` in number, a
     proven bound; those groups are broadcast, so their rows never meet in one task. The
-    other keys go through an ordinary shuffled join, in which no key is hot.
+    other keys go through an ordinary shuffled join, in which no key is hot. So do all keys
+    of up to SMALL rows.
     """
+    if total <= SMALL:
+        return rows.join(groups, key, how)
     hot = F.col(size) * F.lit(most) > F.lit(total)
     head = groups.filter(hot)
     if head.isEmpty():
