@@ -305,7 +305,7 @@ def config_json_wire(spark: SparkSession, d: str) -> DataFrame:
     return each_row(table(spark, d, "part").select("p_partkey", "p_size"), f, "p_partkey long, wire string")
 
 
-@query("duration_parse", "SELECT p_partkey, p_size * 60 + p_partkey % 60 + 0.25 AS seconds FROM part")
+@query("duration_parse", "SELECT p_partkey, p_size * 60 + p_partkey % 60 + 0.25::DOUBLE AS seconds FROM part")
 def duration_parse(spark: SparkSession, d: str) -> DataFrame:
     return each_row(table(spark, d, "part").select("p_partkey", "p_size"), lambda k, n: (k, config.Duration().parse(f"{n}m{k % 60}s250ms")), "p_partkey long, seconds double")
 
