@@ -302,6 +302,17 @@ def test_near_copies_are_all_found(spark, none):
     assert near.kept(none).collect() == []
 
 
+def test_near_copies_make_sets_of_compared_texts_only(spark):
+    texts = ["a b c d e f g", "a b c d e f g h", "A b c d e f g", *(f"{i} x y z w v" for i in range(300))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    node = lambda t: near.node_of(near.shingle_set(t, 5, 42))
+    wanted = spark.createDataFrame([(node(t), near.mark_of(t)) for t in texts[:2]], "node long, mark long")
+    hits = near.hits(near.picked(wanted, "mark"), np.array([near.mark_of(t) for t in texts], np.int64))
+    assert hits[:2].all() and hits.sum() < 20  # 2 of 303 and what shares a bit
+    got = {r.node: set(r.hashes) for r in near.sets_of(docs, wanted, 5, 42, "text").collect()}
+    assert got == {node(t): set(near.shingle_set(t, 5, 42).tolist()) for t in texts[:2]}
+
+
 def test_near_copies_without_single_ids(spark):
     import corpus_pipeline
 
