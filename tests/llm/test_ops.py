@@ -313,6 +313,33 @@ def test_near_copies_make_sets_of_compared_texts_only(spark):
     assert got == {node(t): set(near.shingle_set(t, 5, 42).tolist()) for t in texts[:2]}
 
 
+def test_near_copies_are_first_found_by_fingerprint(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), *(" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in rng.sample(range(400), 12)), *(text(40) for _ in range(5))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    fps = {near.node_of(x): int(simhash.majority([x.view(np.uint64).tolist()])[0]) for x in (near.shingle_set(t, 5, 42) for t in texts)}
+    root = {n: n for n in fps}
+    for a in fps:
+        for b in fps:
+            if (fps[a] ^ fps[b]).bit_count() <= 3 and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {n: x if r == y else r for n, r in root.items()}
+    rounds, old = [], near.verified
+
+    def verified(pairs, *args):
+        rounds.append(pairs.collect())
+        return old(pairs, *args)
+
+    monkeypatch.setattr(near, "verified", verified)
+    near.near_duplicates(docs).collect()
+    got = {n: n for n in fps}
+    for a, b in rounds[0]:
+        x, y = sorted((got[a], got[b]))
+        got = {n: x if r == y else r for n, r in got.items()}
+    assert got == root and len(set(root.values())) < len(root)
+
+
 def test_near_copies_without_single_ids(spark):
     import corpus_pipeline
 
