@@ -340,6 +340,32 @@ def test_near_copies_are_first_found_by_fingerprint(spark, monkeypatch):
     assert got == root and len(set(root.values())) < len(root)
 
 
+def test_alike_but_unlinked_texts_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(150):  # similarities of about 0.6 to each other, crowded under the same shingles
+        own = list(base)
+        for _ in range(6):
+            own[rng.randrange(200)] = f"new{rng.random()}"
+        rows.append((i, " ".join(own)))
+    made, old = [], near.verified
+
+    def verified(pairs, *args):
+        made.append(pairs.count())
+        return old(pairs, *args)
+
+    monkeypatch.setattr(near, "verified", verified)
+    a, b = (near.shingle_set(t, 5, 42) for _, t in rows[:2])
+    for size in (64, 32):  # folded or not, a sketch never shows more than the sets differ in
+        differ = near.folded(near.sketch_of(a), size) ^ near.folded(near.sketch_of(b), size)
+        assert 0 < np.bitwise_count(differ.view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+    sets = [shingles(t) for _, t in rows]
+    linked = sum(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near.near_duplicates(docs).count() == 150
+    assert made[-1] <= 150 + 2 * linked  # before: nearly all of 11,175
+
+
 def test_near_copies_without_single_ids(spark):
     import corpus_pipeline
 
