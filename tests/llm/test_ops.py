@@ -366,6 +366,46 @@ def test_alike_but_unlinked_texts_make_no_pairs(spark, monkeypatch):
     assert made[-1] <= 150 + 2 * linked  # before: nearly all of 11,175
 
 
+@pytest.mark.parametrize("side", [7, 2_000])
+def test_near_copies_left_over_make_forests_not_pairs(spark, monkeypatch, side):
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(100):  # similarities on both sides of 0.8, crowded under the same shingles
+        own = list(base)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(150)] = f"new{rng.random()}"
+        rows.append((i, " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    root = list(range(len(rows)))
+    for i, j in links:
+        root = [root[j] if r == root[i] else r for r in root]
+    made, old = [], near.verified
+
+    def verified(pairs, *args):
+        made.append(pairs.collect())
+        return old(pairs, *args)
+
+    monkeypatch.setattr(near, "verified", verified)
+    monkeypatch.setattr(near, "by_fingerprint", lambda nodes: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(near, "ROUNDS", 0)  # all is left to the last step
+    monkeypatch.setattr(near, "SIDE", side)
+    got = collections.defaultdict(set)
+    for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r.root].add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted([i for i, r in enumerate(root) if r == k] for k in set(root))
+    assert len(links) > 1500 and 1 < len(got) < 100
+    if side > len(rows):  # before: every link and every near miss
+        assert len(made[-1]) < 10 * len(rows)
+
+
+def test_linked_components_are_not_compared_again():
+    could = np.triu(np.ones((40, 40), bool), 1)
+    label, tried = np.arange(40) // 20, []
+    pairs = near.forest(could, label, lambda i, j: tried.append((i, j)) or (i, j) == (0, 22))
+    assert pairs == [(0, 22)] and tried == [(0, 20), (0, 21), (0, 22)]
+
+
 def test_near_copies_without_single_ids(spark):
     import corpus_pipeline
 
