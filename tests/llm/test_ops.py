@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -218,6 +219,32 @@ def test_suffix_dedup(spark, docs, none, crowd, monkeypatch):
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+def joined_on(spark, key, since):
+    """Rows that joins on `key` alone made in executions from number `since` on."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store, out = spark._jsparkSession.sharedState().statusStore(), 0
+    listed = lambda x: [x.apply(i) for i in range(x.size())]
+    for e in listed(store.executionsList()):
+        if e.executionId() >= since:
+            made = store.executionMetrics(e.executionId())
+            for node in listed(store.planGraph(e.executionId()).allNodes()):
+                if re.search(rf"Join \[{key}#\d+L\], \[{key}#\d+L\]", node.desc()):
+                    out += sum(int(made.apply(m.accumulatorId()).replace(",", "")) for m in listed(node.metrics()) if m.name() == "number of output rows" and made.contains(m.accumulatorId()))
+    return out
+
+
+def test_copies_are_counted_before_joins(spark):
+    one, made = LONG[:1500], []
+    for copies in (20, 80):
+        others = [(-i, f"{i} {one[: 250 * i]}") for i in range(1, 6)]
+        df = spark.createDataFrame([(i, one) for i in range(copies)] + others, "doc_id long, text string")
+        since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+        rows = suffix_dedup.remove_repeats(df).collect()
+        assert len(rows) == copies + 5 and all(r.n_removed == r.n_bytes for r in rows if r.doc_id >= 0)
+        made.append(joined_on(spark, "h", since))
+    assert made[0] == made[1] > 0
+
+
 def test_blockwise_suffix_order(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET", 50)
     for trial in range(20):

@@ -370,17 +370,20 @@ def remove_repeats(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
     slim = docs.select(F.xxhash64(text).alias("u"), F.coalesce(ident, F.lit(-1)).alias("v"), ident.alias("doc_id"), text.alias("text"))
     found = saved(slim.select("u", "v", "text").mapInArrow(lambda it: find_stretches(it, width), "u long, v long, ar long, h long, c long"))
 
-    # per distinct stretch: how often, and one place to read it from
+    # per distinct stretch: how often, and one place to read it from. Copies are counted before
+    # anything is joined, so that what is joined on h is one row of each
     total = max(1, found.count())
-    hot = saved(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 1000 > total).select("h"))  # 1000 keys at most
+    every = saved(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "ar")).alias("at")))
+    freed(spark)
+    keys = every.groupBy("h").agg(F.count(F.lit(1)).alias("differ"), F.sum("n").alias("total"))
+    hot = saved(keys.filter(F.col("differ") * 1000 > every.count()))  # 1000 keys at most
     freed(spark)
-    stretch = lambda rows: rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "ar")).alias("at"))
     under = Window.partitionBy("h")
-    kinds = stretch(found.join(F.broadcast(hot), "h", "left_anti")).select("*", F.count(F.lit(1)).over(under).alias("differ"), F.sum("n").over(under).alias("total"))
+    kinds = every.join(F.broadcast(hot), "h", "left_anti").select("*", F.count(F.lit(1)).over(under).alias("differ"), F.sum("n").over(under).alias("total"))
     if not hot.isEmpty():  # their stretches are counted in parts, and never meet in one task
-        some = stretch(found.join(F.broadcast(hot), "h", "left_semi"))
-        kinds = kinds.unionByName(some.join(F.broadcast(some.groupBy("h").agg(F.count(F.lit(1)).alias("differ"), F.sum("n").alias("total"))), "h"))
+        kinds = kinds.unionByName(every.join(F.broadcast(hot), "h"))
     kinds = saved(kinds.filter("total > 1").drop("total"))
+    dropped(every)
     freed(spark)
 
     # the bytes of one of each, under keys with several
