@@ -91,8 +91,9 @@ def flac_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flac_stereo_round_trip", registry.SQL["decorrelate"])
 def flac_stereo_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    coded = flac.frames(registry.stereo(spark, d), size=64, channels=("l", "r"))
-    both = flac.decode(flac.files(coded, size=64, channels=2))
+    """In 24 bits: amplitudes beyond full scale, and their squares, need more than 16."""
+    coded = flac.frames(registry.stereo(spark, d), size=64, bits=24, channels=("l", "r"))
+    both = flac.decode(flac.files(coded, size=64, bits=24, channels=2))
     side = lambda ch: F.max(F.when(F.col("ch") == ch, F.col("q")))
     return both.groupBy("sid", "idx").agg(side(0).alias("l"), side(1).alias("r"))
 
