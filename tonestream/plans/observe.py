@@ -93,11 +93,14 @@ def format_bytes(n: float) -> str:
     return f"{n:.1f} TiB"
 
 
-def bytes_column(n: Column) -> Column:
-    """format_bytes() as an expression."""
-    out = F.format_string("%.1f TiB", n / float(1 << 40))
-    for power, unit in ((30, "GiB"), (20, "MiB"), (10, "KiB")):
-        out = F.when(F.abs(n) < float(1 << (power + 10)), F.format_string(f"%.1f {unit}", n / float(1 << power))).otherwise(out)
+def bytes_column(n: Column, top: int = 40) -> Column:
+    """format_bytes() as an expression; 2**top is the largest unit. format_string would
+    round what a double's shortest digits say, halves up; this rounds the double itself."""
+    amount = lambda power, unit: F.concat(F.call_function("format_number", n / float(1 << power), F.lit("0.0")), F.lit(f" {unit}"))
+    out = None
+    for power, unit in ((40, "TiB"), (30, "GiB"), (20, "MiB"), (10, "KiB")):
+        if power <= top:
+            out = amount(power, unit) if out is None else F.when(F.abs(n) < float(1 << (power + 10)), amount(power, unit)).otherwise(out)
     return F.when(F.abs(n) < 1024, F.format_string("%.0f B", n.cast("double"))).otherwise(out)
 
 
