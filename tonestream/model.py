@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores: where each takes long, a task for every 128 MB of a
+    file, which may be millions of rows, leaves most of them idle."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a mono stream: sid, idx, v in (-1, 1), frame_no, kind."""
     e = table(spark, sf_dir, "events")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import layouts
-from ..model import samples, table
+from ..model import samples, spread, table
 from ..operators import codecs
 from ..sources import flac_meta, mpeg, tags
 from . import registry
@@ -33,11 +33,13 @@ def made(df: DataFrame, build: Callable[..., bytes]) -> DataFrame:
     """A file for each row: sid (the first column), content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [build(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(raw, pa.binary())], names=["sid", "content"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                raw = [build(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+                yield pa.record_batch([b.column(0), pa.array(raw, pa.binary())], names=["sid", "content"])
 
-    return df.mapInArrow(run, "sid long, content binary")
+    return spread(df).mapInArrow(run, "sid long, content binary")
 
 
 # ---- tags
