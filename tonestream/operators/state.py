@@ -156,6 +156,8 @@ class LowpassGate:
 COMBS = (1116, 1188, 1277, 1356, 1422, 1491, 1557, 1617)
 ALLPASSES = (556, 441, 341, 225)
 BASE, SPREAD, INPUT = 44100, 23, 0.015
+#: Samples of a delay below which a loop over single ones takes less time than arrays.
+SHORT = 64
 
 
 class Comb:
@@ -164,8 +166,11 @@ class Comb:
     def __init__(self, steps: int, feedback: float, damping: float) -> None:
         self.buf, self.feedback = np.zeros(steps), feedback
         self.low = Linear((1 - damping,), (-damping,))
+        self.damping = damping
 
     def push(self, x: np.ndarray) -> np.ndarray:
+        if len(self.buf) < SHORT:
+            return self.one_by_one(x)
         d, out = len(self.buf), np.empty(len(x))
         for k in range(0, len(x), d):
             v = x[k : k + d]
@@ -174,6 +179,15 @@ class Comb:
             self.buf = np.r_[self.buf[len(v) :], v + self.feedback * self.low.push(old)]
         return out
 
+    def one_by_one(self, x: np.ndarray) -> np.ndarray:
+        held, low = self.buf.tolist(), float(self.low.y[0])
+        part, damping, feedback = 1 - self.damping, self.damping, self.feedback
+        for k, v in enumerate(x.tolist()):
+            low = part * held[k] + damping * low
+            held.append(v + feedback * low)
+        self.buf, self.low.y = np.array(held[len(x) :]), np.array([low])
+        return np.array(held[: len(x)])
+
 
 class Allpass:
     """buf[n] = x + buf[n - D] / 2; gives buf[n - D] - x."""
@@ -183,6 +197,12 @@ class Allpass:
 
     def push(self, x: np.ndarray) -> np.ndarray:
         d, out = len(self.buf), np.empty(len(x))
+        if d < SHORT:
+            held = self.buf.tolist()
+            for k, v in enumerate(x.tolist()):
+                held.append(v + held[k] * 0.5)
+            self.buf = np.array(held[len(x) :])
+            return np.array(held[: len(x)]) - x
         for k in range(0, len(x), d):
             v = x[k : k + d]
             old = self.buf[: len(v)]
